@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import packing, simhash
+from churnlens.llm import langid, media, packing, quality_model, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,27 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op4_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return media.media_digests(_table(spark, folder, "documents"))
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op9_harmonic_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op4_media_columns, op5_language_id, op6_toxicity, op9_harmonic_packing)}
 ORACLES: dict[str, str] = {}
