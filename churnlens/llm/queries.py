@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import langid, media, packing, quality_model, simhash, toxicity
+from churnlens.llm import langid, media, mixing, packing, quality_model, rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_digests(_table(spark, folder, "documents"))
 
@@ -41,5 +45,9 @@ def op9_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op4_media_columns, op5_language_id, op6_toxicity, op9_harmonic_packing)}
-ORACLES: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.quality_rules(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mixing, op4_media_columns, op5_language_id, op6_toxicity, op9_harmonic_packing, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op10_quality_rules": rules.SQL}
