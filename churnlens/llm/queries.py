@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import langid, media, mixing, packing, quality_model, rules, simhash, toxicity
+from churnlens.llm import langid, media, mixing, packing, pii, quality_model, rules, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,14 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op7_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_table(spark, folder, "documents"))
+
+
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mixing, op4_media_columns, op5_language_id, op6_toxicity, op9_harmonic_packing, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mixing, op4_media_columns, op5_language_id, op6_toxicity, op7_pii_spans, op8_sharding, op9_harmonic_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op10_quality_rules": rules.SQL}
