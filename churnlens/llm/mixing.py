@@ -17,6 +17,8 @@ from churnlens.llm.common import hash_unit, staged, text_of, word_count
 #: Weights of the sources in turn; share of all words that the mix has; times a source may be used.
 WEIGHTS, TOTAL, MOST_EPOCHS = (5, 2, 1), 1.5, 2
 RANGES = 4096
+#: A row per source is broadcast up to so many, joined by shuffle beyond.
+BROADCAST_SOURCES = 100_000
 MARKS = "#*$%&|<>!"
 
 
@@ -64,6 +66,22 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(5.0) * marks / F.greatest(F.length(text), F.lit(1)))
 
 
+def sample_key(docs: DataFrame) -> Column:
+    """Exponential key of a row whose rate is its quality weight; the least come first."""
+    return -F.log(hash_unit(docs["doc_id"])) / quality_weight(text_of(docs))
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, key, source_size, target, epochs, budget (what is left after whole epochs), before (words that come first)."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(text_of(docs)).alias("size"), sample_key(docs).alias("key"))
+    rows = staged(rows.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int")))
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    ranked = running(rows, ["source"], "part", [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("size")], "size", "before")
+    both = ranked.join(goal, same(ranked, goal, ["source"])).drop(goal["source"])
+    both = both.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
+    return both.withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
@@ -71,17 +89,27 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows that repeat an id are documents of their own; rows that are equal in id and size may trade places, which changes no
     result. Reruns agree: keys come from a hash of the id. An empty table gives no rows.
     """
-    text = text_of(docs)
-    key = -F.log(hash_unit(docs["doc_id"])) / quality_weight(text)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"))
-    rows = staged(rows.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int")))
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    ranked = running(rows, ["source"], "part", [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("size")], "size", "before")
-    both = ranked.join(goal, same(ranked, goal, ["source"]))
-    epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
-    budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before")))
-    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("before")))
+    return _ranked(docs).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as its source's mixture takes it: its whole epochs, and once more if it is drawn, if only in part.
+
+    Which rows are drawn is told by each source's last drawn key, a row per source, so the texts are not shuffled. Rows of
+    one id and size that lie at the edge are all drawn. Rows without words are taken in whole epochs only.
+    """
+    order = lambda key, doc_id, size: F.struct(key.alias("key"), doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), size.alias("size"))
+    drawn = (F.col("before") < F.col("budget")) & (F.col("size") > 0)
+    last = F.max(F.when(drawn, order(F.col("key"), F.col("doc_id"), F.col("size"))))
+    edges = staged(_ranked(docs).groupBy("source").agg(F.max("epochs").alias("_epochs"), last.alias("_last")).withColumnRenamed("source", "_source"))
+    if edges.count() <= BROADCAST_SOURCES:
+        edges = F.broadcast(edges)
+    held = docs.withColumn("_size", word_count(text_of(docs)))
+    own = order(sample_key(docs), docs["doc_id"].cast("long"), F.col("_size"))
+    both = held.join(edges, docs["source"].cast("string").eqNullSafe(edges["_source"]))
+    times = (F.col("_epochs") + F.coalesce((F.col("_size") > 0) & (own <= F.col("_last")), F.lit(False)).cast("long")).cast("int")
+    return both.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 SQL = r"""
