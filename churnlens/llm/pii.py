@@ -245,7 +245,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text put out and n_chars, where docs has it, counted anew; null texts stay null."""
     text = docs["text"].cast("string")
     found = docs.withColumn("_cands", candidates(F.coalesce(text, F.lit(""))))
-    model = fit(staged(found.select(F.col("_cands").alias("cands")).where(F.size("_cands") > 0)))
+    model = fit(staged(found.select(F.col("_cands").alias("cands"))))
     spans = found.withColumn("_spans", chosen(F.col("_cands"), model)).withColumn("text", redacted(text, F.col("_spans")))
     if "n_chars" in docs.columns:
         spans = spans.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
