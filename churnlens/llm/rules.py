@@ -13,7 +13,7 @@ from churnlens.llm.common import BLANK, BLANKS, text_of, word_count
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEAT_PERCENT = 8, 20, 30
-CAPITALS, SMALLS = "[A-ZÀ-ÖØ-Þ]", "[a-zß-öø-ÿ]"
+CAPITALS, SMALLS = "[A-ZÀ-ÖØ-Þ]++", "[a-zß-öø-ÿ]++"
 BOILERPLATE = "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|enable javascript|click here|sign up for|subscribe to our|skip to content|copyright [(©0-9]|licensed under|powered by)"
 SENTENCE_END = "[.!?:;…\"”»)][ \\t\\r\\x0B\\f]*$"
 
@@ -30,25 +30,32 @@ def line_fails(line: Column) -> Column:
     navigation: two bars or more, one for every fourth word, or two words at most with no end of a sentence;
     boilerplate: a stock phrase, or symbols for more than an eighth of the characters.
     """
-    words, chars = word_count(line), F.length(F.translate(line, BLANKS, ""))
-    bars = _without(line, "|")
-    shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
-    capitals = F.length(line) - F.length(F.regexp_replace(line, CAPITALS, ""))
-    smalls = F.length(line) - F.length(F.regexp_replace(line, SMALLS, ""))
-    return (
-        ((bars >= 2) & (bars * 4 >= words))
-        | (_without(line, SYMBOLS) * 8 > chars)
-        | (shouts * 3 >= words)
-        | ((words >= 3) & (capitals > smalls))
-        | ((words <= 2) & ~line.rlike(SENTENCE_END))
-        | line.rlike(BOILERPLATE)
-    )
-
-
-def repeat_words(windows: Column, ordered: Column, positions: Column) -> Column:
-    """Words in windows found twice or more; each argument is a column of its own, made by the step before."""
+    # measured once in a struct of one line, as nothing shares what a lambda computes twice
+    measured = F.transform(F.array(line), lambda x: F.struct(
+        x.alias("line"), word_count(x).alias("words"), _without(x, "|").alias("bars"),
+        (F.length(x) - F.length(F.replace(x, F.lit("!!"), F.lit("")))).alias("shouts"),
+    ))
+
+    def fails(m: Column) -> Column:
+        x, words = m["line"], m["words"]
+        capitals = F.length(x) - F.length(F.regexp_replace(x, CAPITALS, ""))
+        smalls = F.length(x) - F.length(F.regexp_replace(x, SMALLS, ""))
+        return (
+            ((m["bars"] >= 2) & (m["bars"] * 4 >= words))
+            | (m["shouts"] * 3 >= words * 2)
+            | ((words <= 2) & ~x.rlike(SENTENCE_END))
+            | (_without(x, SYMBOLS) * 8 > F.length(F.translate(x, BLANKS, "")))
+            | ((words >= 3) & (capitals > smalls))
+            | x.rlike(BOILERPLATE)
+        )
+
+    return F.exists(measured, fails)
+
+
+def repeat_words(positions: Column) -> Column:
+    """Words in windows that begin at positions, a sorted column of its own; null: none."""
     step = F.transform(positions, lambda p, k: F.coalesce(F.least(F.lit(WINDOW), F.get(positions, k + 1) - p), F.lit(WINDOW)))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x))
+    return F.coalesce(F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def judge(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(F.translate("_text", BLANKS, "")).cast("long"),
         "n_symbols": _without(F.col("_text"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct(F.transform("_lines", lambda x: x["line"])))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_windows"), s, F.col("_places")),
+        "n_repeat_words": repeat_words(F.col("_places")),
         "clean_text": F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n"),
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
