@@ -6,6 +6,9 @@ the base rules or has lost more than half of its characters to failing lines.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,9 @@ from churnlens.llm.common import BLANK, BLANKS, text_of, word_count
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEAT_PERCENT = 8, 20, 30
 CAPITALS, SMALLS = "[A-ZÀ-ÖØ-Þ]++", "[a-zß-öø-ÿ]++"
-BOILERPLATE = "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|enable javascript|click here|sign up for|subscribe to our|skip to content|copyright [(©0-9]|licensed under|powered by)"
+#: Stock phrases in lower case, and what must follow the one that is also a plain word.
+BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "enable javascript", "click here", "sign up for", "subscribe to our", "skip to content", "licensed under", "powered by")
+COPYRIGHT = "copyright [(©0-9]"
 SENTENCE_END = "[.!?:;…\"”»)][ \\t\\r\\x0B\\f]*$"
 
 
@@ -32,7 +37,7 @@ def line_fails(line: Column) -> Column:
     """
     # measured once in a struct of one line, as nothing shares what a lambda computes twice
     measured = F.transform(F.array(line), lambda x: F.struct(
-        x.alias("line"), word_count(x).alias("words"), _without(x, "|").alias("bars"),
+        x.alias("line"), F.lower(x).alias("low"), word_count(x).alias("words"), _without(x, "|").alias("bars"),
         (F.length(x) - F.length(F.replace(x, F.lit("!!"), F.lit("")))).alias("shouts"),
     ))
 
@@ -46,7 +51,8 @@ def line_fails(line: Column) -> Column:
             | ((words <= 2) & ~x.rlike(SENTENCE_END))
             | (_without(x, SYMBOLS) * 8 > F.length(F.translate(x, BLANKS, "")))
             | ((words >= 3) & (capitals > smalls))
-            | x.rlike(BOILERPLATE)
+            | reduce(or_, (m["low"].contains(p) for p in BOILERPLATE))
+            | (m["low"].contains("copyright ") & m["low"].rlike(COPYRIGHT))
         )
 
     return F.exists(measured, fails)
