@@ -4,7 +4,7 @@ A 64-bit fingerprint has three segments of at most 23 bits, each a word of the p
 segment's keys are the indices of the codewords to which it and its 23 one-bit neighbours decode: one key, or six.
 Segments that differ in two bits or fewer have a common neighbour, hence a common key. Two errors in three segments
 leave one segment without any, so fingerprints within two bits agree in that segment and share a key of the next.
-Each distinct fingerprint gives up to 18 such keys; equal keys are joined and the pairs verified.
+Each distinct fingerprint gives up to 18 such keys. What shares a key is joined through the few bit patterns next to it and verified.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from churnlens.llm.common import staged, text_of
 from churnlens.llm.components import components
@@ -27,8 +26,6 @@ SEED, BITS, MAX_BITS = 42, 64, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
 GENERATOR = 0b110001110101
-#: Beyond so many fingerprints a key's group is linked through one-bit neighbours, which is linear in its size.
-GROUP_PAIRS = 48
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -102,12 +99,12 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS, group_pairs: int = GROUP_PAIRS) -> DataFrame:
+def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges a, b over distinct fingerprints (column fp) that connect exactly what links of max_bits or fewer connect.
 
-    Small groups of equal keys are joined and verified. In a larger one each fingerprint is tied to itself and its
-    one-bit neighbours instead: two fingerprints within two bits meet in a neighbour, others do not, and no pairs
-    of the group are made. Neighbours may be bit patterns that no document has.
+    A key's group tells in which bits its fingerprints differ at all. Each fingerprint is then listed under itself and under
+    its one-bit neighbours in the bits that differ in its groups: two fingerprints within two bits are listed together,
+    others are not, and no pairs of a group are made. A list has at most 65 fingerprints; all are tied to its least.
     """
     if max_bits != MAX_BITS:
         raise ValueError("the segments are laid out for two differing bits")
@@ -121,14 +118,13 @@ def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS, group_pairs: int = GROU
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
     keys = fps.select("fp").mapInArrow(keyed, "key long, fp long")
-    grouped = staged(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
-    small = grouped.where(F.col("n") <= group_pairs)
-    a, b = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
-    pairs = a.join(b, "key").where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
+    shared = staged(keys.groupBy("key").agg(F.expr("bit_or(fp) ^ bit_and(fp)").alias("differ")).where("differ <> 0"))
+    differing = keys.join(shared, "key").groupBy("fp").agg(F.bit_or("differ").alias("differ"))
     bits = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - ((i == 63) << 64)).cast("long") for i in range(BITS)))
-    hot = grouped.where(F.col("n") > group_pairs).select("fp").distinct()
-    hubs = hot.select("fp", F.explode(bits).alias("flip")).select(F.col("fp").alias("a"), F.expr("fp ^ flip").alias("b"))
-    return pairs.unionByName(hubs.where("a <> b"))
+    listed = differing.select("fp", F.explode(F.filter(bits, lambda x: x.bitwiseAND(F.col("differ")) == x)).alias("flip"))
+    lists = listed.groupBy(F.expr("fp ^ flip").alias("pattern")).agg(F.array_sort(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
+    tied = lists.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, BITS + 1)).alias("b"))
+    return tied.where(f"bit_count(a ^ b) <= {max_bits}").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
