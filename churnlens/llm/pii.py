@@ -1,10 +1,12 @@
 """Operator 7: personal data as spans, by boosted trees over candidates, in DataFrame functions alone.
 
-Generators propose spans of each kind: the base patterns, whose valid matches always stay, and wider ones that catch other
-spellings and overlap them. Format and context make a few small categories of each candidate; counts of their
-combinations, at most a few thousand rows, are all that boosting needs, and base matches that pass or fail their kind's
-test are its labels. A kind's threshold is the least at which nine in ten labelled candidates pass. Wider candidates at or
-above it are added where no base span lies.
+Generators propose spans of each kind: the base patterns, whose valid matches always stay, and wider ones of high recall that
+match other spellings too and overlap them. Boosted trees judge the wider candidates by format and context. Their labels
+are what the features do not hold: a wide candidate on a valid base span of its kind is one, and a look-alike is none, that
+is, one on a base match that failed its test or is of another kind, or an address sign with no domain. What is neither is
+what the trees are for. Format and context make a few small categories, so counts of their combinations, at most some ten
+thousand rows, are all that boosting needs. Thresholds come from documents that the trees did not see. Wide candidates at
+or above their kind's threshold are added where no base span lies.
 """
 
 from __future__ import annotations
@@ -25,16 +27,25 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wider patterns of the same kinds: spelled-out addresses, address groups in hexadecimal, card groups parted by dots, numbers with no plus.
+#: Wider patterns of the same kinds: spelled-out addresses, address groups in hexadecimal, card groups parted by other marks, numbers with no plus.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{2,63}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z]{2,24}+)++",
-    "ip": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9.])",
-    "phone": r"(?<![0-9+.)-])(?<![0-9][\x20.(-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[\[({]at[\])}]\x20?)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[A-Za-z0-9-]{1,63}+)*+",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,4}+(?:\.[0-9]{1,4}+){3,}+|[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+)(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9+])(?<![0-9][._/\x20-])[0-9](?:[._/\x20-]?[0-9]){11,18}+(?![0-9])",
+    "phone": r"(?<![0-9+])(?<![0-9][\x20().-])[+(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,18}+(?![0-9])",
 }
+#: What a text must hold for a pattern to be tried at all.
+HINT = {"email": r"@|[\[({]at[\])}]", "ip": "[.:][0-9A-Fa-f]", "card": "[0-9]", "phone": "[0-9]"}
 CONTEXT = {"email": "(?i)(mail|contact|write|reach)", "ip": "(?i)(ip|host|server|address)", "card": "(?i)(card|visa|credit|pay|account)", "phone": "(?i)(tel|phone|call|fax|mobile|cell)"}
-FEATURES = ("kind", "digits", "valid", "groups", "parting", "before", "after", "context")
-ROUNDS, RATE, LEAST_LEAF, PRECISION, LEAST_LABELS = 25, 0.4, 5, 0.9, 20
+#: Number of alphanumeric groups (5 and more alike), length of the longest and of the last (3 and less, 4, 5 and more), the mark
+#: between groups, whether brackets occur, classes of the neighbours, and words of this and of other kinds before it.
+FEATURES = ("kind", "groups", "longest", "last", "parting", "bracket", "before", "after", "context", "other")
+ROUNDS, RATE, LEAST_LEAF, PRECISION = 25, 0.4, 5, 0.9
+#: One document in FOLDS sets thresholds and teaches no tree. Pseudo-counts at PRECISION stand beside a kind's labels there.
+FOLDS, PSEUDO = 4, 10
+#: Log-odds that a word of the kind before a candidate is worth before any label is seen.
+CONTEXT_PRIOR = 1.0
+SPAN = "struct<kind: int, base: boolean, start: long, end: long, valid: boolean, groups: int, longest: int, last: int, parting: int, bracket: int, before: int, after: int, context: int, other: int>"
 
 
 def luhn(digits: Column) -> Column:
@@ -81,18 +92,23 @@ def _found(text: Column, kind: str, base: bool) -> Column:
 
     # the gap after the last match goes along with a null match, for the character that follows
     placed = F.aggregate(F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"))), start, put, lambda a: a["out"])
+    parts = lambda m: F.filter(F.split(m, "[^0-9A-Za-z]+"), lambda g: g != "")
+    bucket = lambda n: F.when(n <= 3, 0).when(n == 4, 1).otherwise(2)
+    others = "(?i)(" + "|".join(CONTEXT[k].removeprefix("(?i)") for k in KINDS if k != kind) + ")"
     spans = F.transform(placed, lambda p, i: F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), p["start"].alias("start"), p["end"].alias("end"),
         is_valid(kind, p["m"]).alias("valid"),
-        F.least(F.length(_digits(p["m"])) / 3, F.lit(7)).cast("int").alias("digits"),
-        F.least(F.size(F.split(p["m"], "[^0-9A-Za-z]+")), F.lit(7)).alias("groups"),
-        F.when(p["m"].rlike(r"[\x20]"), 1).when(p["m"].rlike("-"), 2).when(p["m"].rlike(r"\."), 3).otherwise(0).alias("parting"),
+        F.least(F.size(parts(p["m"])), F.lit(5)).alias("groups"),
+        bucket(F.array_max(F.transform(parts(p["m"]), lambda g: F.length(g)))).alias("longest"),
+        bucket(F.length(F.element_at(parts(p["m"]), -1))).alias("last"),
+        F.when(p["m"].rlike("-"), 2).when(p["m"].rlike(r"\x20"), 1).when(p["m"].rlike(r"\."), 3).when(p["m"].rlike(":"), 4).otherwise(0).alias("parting"),
+        p["m"].rlike(r"[\[({]").cast("int").alias("bracket"),
         _side(F.right(p["left"], F.lit(1))).alias("before"),
         _side(F.substring(F.get(gaps, i + 1), 1, 1)).alias("after"),
         p["left"].rlike(CONTEXT[kind]).cast("int").alias("context"),
+        p["left"].rlike(others).cast("int").alias("other"),
     ))
-    none = F.array().cast("array<struct<kind: int, base: boolean, start: long, end: long, valid: boolean, digits: int, groups: int, parting: int, before: int, after: int, context: int>>")
-    return F.when(text.rlike(pattern), spans.cast("array<struct<kind: int, base: boolean, start: long, end: long, valid: boolean, digits: int, groups: int, parting: int, before: int, after: int, context: int>>")).otherwise(none)
+    return F.when(text.rlike(HINT[kind]) & text.rlike(pattern), spans.cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def candidates(text: Column) -> Column:
@@ -102,7 +118,27 @@ def candidates(text: Column) -> Column:
 
 def _codes(c: Column) -> list[Column]:
     """The features as whole numbers, in the order of FEATURES."""
-    return [c["valid"].cast("int") if f == "valid" else c[f] for f in FEATURES]
+    return [c[f] for f in FEATURES]
+
+
+def _crosses(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def labelled(cands: Column) -> Column:
+    """The wide candidates with y: 1 on a valid base span of their kind, 0 on any other base match, null where none lies.
+
+    An e-mail candidate with its sign that is on no base match failed for want of a domain: its parting is not a word in
+    brackets, so it is 0 too.
+    """
+    base = F.filter(cands, lambda c: c["base"])
+
+    def judged(c: Column) -> Column:
+        good = F.exists(base, lambda b: _crosses(b, c) & b["valid"] & (b["kind"] == c["kind"]))
+        bad = F.exists(base, lambda b: _crosses(b, c)) | ((c["kind"] == KINDS.index("email")) & (c["bracket"] == 0))
+        return F.struct(*(c[f].alias(f) for f in FEATURES), F.when(good, 1).when(bad, 0).alias("y"))
+
+    return F.transform(F.filter(cands, lambda c: ~c["base"]), judged)
 
 
 @dataclass
@@ -114,7 +150,7 @@ class Boosted:
     least: dict[int, float] = field(default_factory=dict)
 
     def margin(self, x: tuple) -> float:
-        out = self.base
+        out = self.base + CONTEXT_PRIOR * x[FEATURES.index("context")]
         for f, at, low, high in self.trees:
             g, cut, a, b = high if x[f] > at else low
             out += b if x[g] > cut else a
@@ -122,7 +158,7 @@ class Boosted:
 
     def column(self, codes: list[Column]) -> Column:
         """The probability as a Column over the features' columns."""
-        out = F.lit(self.base)
+        out = F.lit(self.base) + CONTEXT_PRIOR * codes[FEATURES.index("context")]
         for f, at, low, high in self.trees:
             leaf = lambda node: F.when(codes[node[0]] > node[1], F.lit(node[3])).otherwise(F.lit(node[2]))
             out = out + F.when(codes[f] > at, leaf(high)).otherwise(leaf(low))
@@ -152,12 +188,16 @@ def _best(rows: list[tuple], g: list[float], h: list[float], members: list[int])
     return best
 
 
-def boost(rows: list[tuple[tuple[int, ...], int, int]]) -> Boosted:
-    """Boosted trees of depth two from (features, valid, failed) counts, by Newton steps on the logistic loss; then the thresholds."""
+def boost(rows: list[tuple[tuple[int, ...], int, int]], held: list[tuple[tuple[int, ...], int, int]]) -> Boosted:
+    """Boosted trees of depth two from (features, ones, noughts) counts, by Newton steps on the logistic loss; thresholds from the counts held back.
+
+    A kind's threshold is the least probability above 0.5 from which PRECISION of the labels held back, and of the pseudo-counts
+    beside them, are ones: where all of them are good enough, or none were held back, that is 0.5.
+    """
     rows = sorted(rows)
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     model = Boosted(math.log((good + 1) / (bad + 1)))
-    margin = [model.base] * len(rows)
+    margin = [model.margin(r[0]) for r in rows]
     for _ in range(ROUNDS if good and bad else 0):
         p = [1 / (1 + math.exp(-m)) for m in margin]
         g = [q * (r[1] + r[2]) - r[1] for q, r in zip(p, rows, strict=True)]
@@ -169,31 +209,32 @@ def boost(rows: list[tuple[tuple[int, ...], int, int]]) -> Boosted:
         model.trees.append((f, cut, *sides))
         margin = [model.margin(r[0]) for r in rows]
     for kind in range(len(KINDS)):
-        own = sorted(((1 / (1 + math.exp(-m)), r[1], r[2]) for m, r in zip(margin, rows, strict=True) if r[0][0] == kind), reverse=True)
-        if sum(x[1] + x[2] for x in own) < LEAST_LABELS:
-            continue  # too few to tell: no candidate of this kind is added
-        yes = no = 0
-        for p, a, b in own:
-            yes, no = yes + a, no + b
-            if yes >= PRECISION * (yes + no) and p >= 0.5:
-                model.least[kind] = p
+        own = sorted(((1 / (1 + math.exp(-model.margin(x))), a, b) for x, a, b in held if x[0] == kind), reverse=True)
+        ones, every, good = PRECISION * PSEUDO, PSEUDO, -1
+        for i, (_, a, b) in enumerate(own):
+            ones, every = ones + a, every + a + b
+            if ones >= PRECISION * every - 1e-9:
+                good = i
+        # half way between the last that is good enough and the next, which spoils it
+        cut = 0.5 if good == len(own) - 1 else own[0][0] if good < 0 else (own[good][0] + own[good + 1][0]) / 2
+        model.least[kind] = max(0.5, cut) + 1e-9
     return model
 
 
 def fit(found: DataFrame) -> Boosted:
-    """The model from a table with the array column cands. Counts cover all its rows; what is collected has a row per combination of features, some thousands at most."""
-    one = found.select(F.explode(F.filter("cands", lambda c: c["base"])).alias("c"))
-    good, bad = F.count_if(F.col("c.valid")), F.count_if(~F.col("c.valid"))
-    return boost([(tuple(r[:-2]), r[-2], r[-1]) for r in one.groupBy(*(x.alias(f) for x, f in zip(_codes(F.col("c")), FEATURES, strict=True))).agg(good, bad).collect()])
+    """The model from a table with doc_id and the array column cands. Counts cover all its rows; what is collected has a row per combination of features, some ten thousand at most."""
+    one = found.select((F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held"), F.explode(labelled(F.col("cands"))).alias("c")).where("c.y is not null")
+    counts = one.groupBy("held", *(x.alias(f) for x, f in zip(_codes(F.col("c")), FEATURES, strict=True))).agg(F.sum("c.y").alias("ones"), F.sum(1 - F.col("c.y")).alias("noughts")).collect()
+    rows = {held: [(tuple(r[1:-2]), r[-2], r[-1]) for r in counts if r[0] == held] for held in (False, True)}
+    return boost(rows[False], rows[True])
 
 
 def chosen(cands: Column, model: Boosted) -> Column:
     """Spans (start, end, kind, base) in order: all valid base ones, and added ones clear of them and of better added ones."""
     base = F.filter(cands, lambda c: c["base"] & c["valid"])
     wide = F.filter(F.transform(F.filter(cands, lambda c: ~c["base"]), lambda c: F.struct(c["start"], c["end"], c["kind"], model.column(_codes(c)).alias("p"))), lambda c: _taken(c, model))
-    crosses = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     better = lambda a, b: (b["p"] > a["p"]) | ((b["p"] == a["p"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["kind"] < a["kind"]))))
-    clear = F.filter(wide, lambda a: ~F.exists(base, lambda b: crosses(a, b)) & ~F.exists(wide, lambda b: crosses(a, b) & better(a, b)))
+    clear = F.filter(wide, lambda a: ~F.exists(base, lambda b: _crosses(a, b)) & ~F.exists(wide, lambda b: _crosses(a, b) & better(a, b)))
     shape = lambda xs, own: F.transform(xs, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.lit(own).alias("base")))
     return F.when(F.size(cands) == 0, F.array().cast("array<struct<start: long, end: long, kind: int, base: boolean>>")).otherwise(F.array_sort(F.concat(shape(base, True), shape(clear, False))))
 
@@ -243,10 +284,11 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text put out and n_chars, where docs has it, counted anew; null texts stay null."""
-    text = docs["text"].cast("string")
-    found = docs.withColumn("_cands", candidates(F.coalesce(text, F.lit(""))))
-    model = fit(staged(found.select(F.col("_cands").alias("cands"))))
-    spans = found.withColumn("_spans", chosen(F.col("_cands"), model)).withColumn("text", redacted(text, F.col("_spans")))
-    if "n_chars" in docs.columns:
-        spans = spans.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return spans.select(*docs.columns)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    # the rows are staged with their candidates, which are made once
+    found = staged(docs.select(row, docs["doc_id"].alias("doc_id"), candidates(text_of(docs)).alias("cands")))
+    model = fit(found)
+    text = F.col("row.text").cast("string")
+    out = found.select("row", redacted(text, chosen(F.col("cands"), model)).alias("put"))
+    put = {"text": F.col("put").alias("text"), "n_chars": F.length("put").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.col("put").alias("text")}
+    return out.select(*(put.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
