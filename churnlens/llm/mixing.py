@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from churnlens.llm.common import hash_unit, staged, text_of, word_count
+from churnlens.llm.common import hash_unit, sized, staged, text_of, word_count
 
 #: Weights of the sources in turn; share of all words that the mix has; times a source may be used.
 WEIGHTS, TOTAL, MOST_EPOCHS = (5, 2, 1), 1.5, 2
@@ -102,14 +102,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     order = lambda key, doc_id, size: F.struct(key.alias("key"), doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), size.alias("size"))
     drawn = (F.col("before") < F.col("budget")) & (F.col("size") > 0)
     last = F.max(F.when(drawn, order(F.col("key"), F.col("doc_id"), F.col("size"))))
-    edges = staged(_ranked(docs).groupBy("source").agg(F.max("epochs").alias("_epochs"), last.alias("_last")).withColumnRenamed("source", "_source"))
-    if edges.count() <= BROADCAST_SOURCES:
-        edges = F.broadcast(edges)
-    held = docs.withColumn("_size", word_count(text_of(docs)))
-    own = order(sample_key(docs), docs["doc_id"].cast("long"), F.col("_size"))
-    both = held.join(edges, docs["source"].cast("string").eqNullSafe(edges["_source"]))
-    times = (F.col("_epochs") + F.coalesce((F.col("_size") > 0) & (own <= F.col("_last")), F.lit(False)).cast("long")).cast("int")
-    return both.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    edges = staged(_ranked(docs).groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last")))
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["source"].cast("string").alias("own"), docs["doc_id"].cast("long").alias("doc_id"), word_count(text_of(docs)).alias("size"), sample_key(docs).alias("key"))
+    both = held.join(sized(edges, BROADCAST_SOURCES), held["own"].eqNullSafe(edges["source"]))
+    again = F.coalesce((F.col("size") > 0) & (order(F.col("key"), F.col("doc_id"), F.col("size")) <= F.col("last")), F.lit(False)).cast("long")
+    times = (F.col("epochs") + again).cast("int")
+    out = both.select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 SQL = r"""

@@ -23,6 +23,9 @@ COPYRIGHT = "copyright [(©0-9]"
 SENTENCE_END = "[.!?:;…\"”»)][ \\t\\r\\x0B\\f]*$"
 
 
+DIGEST = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def _without(s: Column, marks: str) -> Column:
     """Number of characters of s that are among marks."""
     return F.length(s) - F.length(F.translate(s, marks, ""))
@@ -64,49 +67,64 @@ def repeat_words(positions: Column) -> Column:
     return F.coalesce(F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text.
-
-    Words are runs of characters other than blanks. A null or empty text has no words, so it fails the base rules and is not
-    kept. Repeated rows and null ids are judged one by one. Columns of these names that docs already has give way.
-    """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
-    text = text_of(docs)
-    words = F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    clash = [c for c in docs.columns if c in made]
-    step = docs.drop(*clash).withColumns({
-        "_text": text,
-        "_hashes": F.transform(words, lambda w: F.xxhash64(w)),
-        "_lines": F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))),
+def _judged(docs: DataFrame) -> DataFrame:
+    """row, a struct of docs' columns, and the columns of DIGEST and clean_text."""
+    step = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_of(docs).alias("text"))
+    words = F.filter(F.split("text", f"[{BLANK}]+"), lambda w: w != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    step = step.withColumns({
+        "hashes": F.transform(words, lambda w: F.xxhash64(w)),
+        "lines": F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))),
     })
-    count = F.size("_hashes")
-    step = step.withColumn("_windows", F.when(count >= WINDOW, F.transform(F.sequence(F.lit(1), count - WINDOW + 1), lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW)))).otherwise(F.array().cast("array<long>")))
+    count = F.size("hashes")
+    step = step.withColumn("windows", F.when(count >= WINDOW, F.transform(F.sequence(F.lit(1), count - WINDOW + 1), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(F.array().cast("array<long>")))
     # positions only where a window comes twice: sorted hashes with their places, those equal to a neighbour, in order
-    twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    step = step.withColumn("_sorted", F.when(twice, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("_sorted")
+    twice = F.size(F.array_distinct("windows")) < F.size("windows")
+    step = step.withColumn("sorted", F.when(twice, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    s = F.col("sorted")
     like = lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
-    step = step.withColumn("_places", F.array_sort(F.filter(F.transform(s, lambda x, k: F.when(like(x, k), x["i"])), lambda i: i.isNotNull())))
-    kept_lines = F.filter("_lines", lambda x: ~x["fails"])
+    step = step.withColumn("places", F.array_sort(F.filter(F.transform(s, lambda x, k: F.when(like(x, k), x["i"])), lambda i: i.isNotNull())))
+    kept_lines = F.filter("lines", lambda x: ~x["fails"])
     step = step.withColumns({
         "n_words": count.cast("long"),
-        "word_chars": F.length(F.translate("_text", BLANKS, "")).cast("long"),
-        "n_symbols": _without(F.col("_text"), SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct(F.transform("_lines", lambda x: x["line"])))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_places")),
+        "word_chars": F.length(F.translate("text", BLANKS, "")).cast("long"),
+        "n_symbols": _without(F.col("text"), SYMBOLS).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct(F.transform("lines", lambda x: x["line"])))).cast("long"),
+        "n_repeat_words": repeat_words(F.col("places")),
         "clean_text": F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n"),
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     left = F.length(F.translate("clean_text", BLANKS, ""))
     step = step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (2 * left >= F.col("word_chars")))
-    return step.drop("_text", "_hashes", "_lines", "_windows", "_sorted", "_places")
+    return step.select("row", *DIGEST, "clean_text")
+
+
+def judge(docs: DataFrame, into: str = "verdict") -> DataFrame:
+    """docs with one more column, into: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text.
+
+    Words are runs of characters other than blanks. A null or empty text has no words, so it fails the base rules and is not
+    kept. Repeated rows and null ids are judged one by one. The user's columns come back as they are, whatever their names;
+    into must not be among them.
+    """
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {into}")
+    return _judged(docs).select(*(F.col("row")[c].alias(c) for c in docs.columns), F.struct(*DIGEST, "clean_text").alias(into))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents kept, their text without the lines that fail and n_chars, where docs has it, counted anew; other columns as they are."""
+    # the partition's number keeps the filter above what it judges by: pushed below, it would judge each line anew for every use
+    kept = _judged(docs).withColumn("task", F.spark_partition_id()).where("kept and task >= 0")
+    put = {"text": F.col("clean_text").alias("text")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return kept.select(*(put.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The digest columns of judge, one row per row of docs."""
     found = judge(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", *(F.col("verdict")[c].alias(c) for c in DIGEST))
 
 
 SQL = r"""

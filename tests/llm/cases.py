@@ -14,3 +14,14 @@ def awkward(spark):
 
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Names that stages may use for columns of their own on the way.
+CLASHES = ("id", "_id", "of", "keep", "copies", "key", "row", "verdict", "kept", "n_words", "clean_text", "_text", "_hashes", "_lines", "lines", "hashes", "words", "source_size", "_source", "_size", "size", "_times", "times", "_copy", "col", "last", "epochs", "own", "_cands", "cands", "_spans", "spans", "put", "root", "node", "_of", "_keep", "best", "first", "text_", "h", "part")
+
+
+def clashing(spark):
+    """A few plain documents, each with a value of its own in a column of every such name."""
+    text = "It was a bright cold day in April, and the clocks were striking thirteen. Some words are number {i} of the rest, as all of them are in such a text of words.\n Mail a{i}@b.co for more of it."
+    rows = [(i, text.format(i=i) if i % 2 else text.format(i=i) + f" And it ends {i} with a sentence of its own kind.", "en", f"s{i % 3}", 1, *(f"{c}{i}" for c in CLASHES)) for i in range(12)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
