@@ -2,8 +2,10 @@
 
 Log-odds compare a token's rate in toxic and other labelled texts, under a Dirichlet prior whose shape is the
 token's rate in all documents. Tokens that are clearly toxic score their log-odds, all others a small loss, so a text's
-expected score is negative and passages stand out. A linear scan finds every maximal passage; the best one's chance
-under the extreme-value law of clean texts of that length, and what the other passages add, give the text's score.
+expected score is negative and passages stand out. A linear scan finds every maximal passage. The best one's chance under
+the extreme-value law of clean texts of that length, and what the other passages add, give the text's score. Both values of
+that law, and the logistic curve from evidence to score, are fitted to labelled texts, each scored as if its own words had
+not been counted.
 """
 
 from __future__ import annotations
@@ -24,7 +26,12 @@ from churnlens.llm.tokens import _EDGES, Words, core, mix
 #: Token numbers; labelled rows that the fit draws at most.
 BUCKETS, SAMPLE_ROWS = 1 << 20, 24_000
 #: Weight of the prior in tokens; a token is toxic from so many standard errors and so much log-odds; the most it scores.
-PRIOR, LEAST_PRIOR, LEAST_Z, LEAST_ODDS, MOST_ODDS = 2_000.0, 0.5, 3.0, 1.5, 6.0
+PRIOR, LEAST_Z, LEAST_ODDS, MOST_ODDS = 2_000.0, 3.0, 2.5, 6.0
+#: In the fit of the extreme-value law a clean text's best passage counts as so much at most: one text that repeats one odd word a
+#: thousand times must not bend the law. Rates that are tried.
+MOST_BEST, RATES = 2 * MOST_ODDS, np.linspace(0.1, 3.0, 117)
+#: A toxic text that is missed counts as so many false alarms.
+MISS_COST = 2.0
 #: A word stands for itself and for what it begins with, so many letters.
 STEM = 6
 #: What every other token loses.
@@ -95,10 +102,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, limit: int) -> DataFrame:
-    """At most limit rows (doc_id, y) outside the held-out fold, by least id hash: bounded, so it may be broadcast."""
+def _labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, limit: int) -> tuple[DataFrame, list[float]]:
+    """At most limit rows (doc_id, y) outside the held-out fold, half of each class, by least id hash; and how many rows one of each class stands for."""
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    return own.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    own = own.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    all_ = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    drawn = [own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2) for y in (0, 1)]
+    return drawn[0].unionByName(drawn[1]), [max(1.0, all_.get(y, 0) / (limit // 2)) for y in (0, 1)]
 
 
 def _distinct(docs: DataFrame, chosen: DataFrame) -> dict[int, int]:
@@ -157,36 +167,90 @@ def counts(docs: DataFrame, known: dict[int, int]) -> DataFrame:
     return made.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("everywhere", "toxic", "other")))
 
 
-def log_odds(everywhere: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Token scores: the log-odds of clearly toxic tokens, -DRIFT for the rest. The prior's least weight keeps a token that one side lacks from being sure."""
-    prior = PRIOR * everywhere / max(1.0, everywhere.sum()) + LEAST_PRIOR
-    y, x = toxic + prior, other + prior
-    odds = np.log(y / (toxic.sum() + prior.sum() - y)) - np.log(x / (other.sum() + prior.sum() - x))
-    z = odds / np.sqrt(1 / y + 1 / x)
-    return np.where((z >= LEAST_Z) & (odds >= LEAST_ODDS), np.minimum(odds, MOST_ODDS), -DRIFT)
-
-
-def calibrate(odds: np.ndarray, best: list[tuple[int, list[tuple[int, int, float]], int]]) -> Model:
+@dataclass(frozen=True)
+class Counts:
+    """Of each bucket: tokens in all documents, toxic and other labelled texts that have it. At most BUCKETS numbers each."""
+
+    everywhere: np.ndarray
+    toxic: np.ndarray
+    other: np.ndarray
+
+    def scores(self, at: np.ndarray | slice = slice(None), label: int | None = None) -> np.ndarray:
+        """Scores of the buckets at: the log-odds of clearly toxic ones, -DRIFT for the rest.
+
+        Given a label, as they are without a labelled text of that label that has just these buckets.
+        """
+        n = 0 if label is None else len(at)
+        toxic, other = self.toxic[at] - (label == 1), self.other[at] - (label == 0)
+        prior = PRIOR * self.everywhere[at] / max(1.0, self.everywhere.sum())
+        all_toxic, all_other = self.toxic.sum() - n * (label == 1) + PRIOR, self.other.sum() - n * (label == 0) + PRIOR
+        y, x = np.maximum(toxic, 0) + prior, np.maximum(other, 0) + prior
+        with np.errstate(divide="ignore", invalid="ignore"):  # a bucket that no document has
+            odds = np.log(y / (all_toxic - y)) - np.log(x / (all_other - x))
+            z = odds / np.sqrt(1 / y + 1 / x)
+        return np.where((prior > 0) & (z >= LEAST_Z) & (odds >= LEAST_ODDS), np.minimum(odds, MOST_ODDS), -DRIFT)
+
+
+def extremes(clean: list[tuple[float, int]]) -> tuple[float, float]:
+    """The rate and k of chance(s) = 1 - exp(-k n exp(-rate s)), of greatest likelihood for the best passages (score, tokens) of clean texts.
+
+    A text with no passage says that its best is 0 or less. One more text, of mean length and with a best passage of half the
+    most a token scores, keeps both values finite where all clean texts have none.
+    """
+    if not clean:
+        return 1.0, 1.0
+    n = np.array([x for _, x in clean] + [np.mean([x for _, x in clean])], float)
+    best = np.minimum(np.array([s for s, _ in clean] + [MOST_ODDS / 2]), MOST_BEST)
+    some = best > 0
+    found = []
+    for rate in RATES:
+        falls = n * np.exp(-rate * best)
+        k = some.sum() / falls.sum()
+        found.append((float((np.log(k * rate * n[some]) - rate * best[some]).sum() - k * falls.sum()), float(rate), float(k)))
+    return max(found)[1:]
+
+
+def calibrate(odds: np.ndarray, best: list[tuple[int, list[tuple[int, int, float]], int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Fit the extreme-value law to the best passages of clean texts, then the logistic curve to evidence; rows are (y, passages, n)."""
-    clean = [(max((s for *_, s in found), default=0.0), max(n, 1)) for y, found, n in best if y == 0]
-    # log-odds scores have rate 1 by their meaning; k is the maximum-likelihood estimate given that rate
-    k = len(clean) / max(1e-9, sum(n * math.exp(-s) for s, n in clean)) if clean else 1.0
-    first = Model(odds, 1.0, k)
+    rate, k = extremes([(max((s for *_, s in found), default=0.0), max(n, 1)) for y, found, n in best if y == 0])
+    first = Model(odds, rate, k)
     x = np.array([first.evidence(found, n) for _, found, n in best])
     y = np.array([y for y, *_ in best], float)
     if not len(y) or y.min() == y.max():
         return first
+    weight = np.where(y == 1, MISS_COST * stands_for[1], stands_for[0])
     slope, base = 0.0, 0.0
     for _ in range(50):  # Newton steps with a slight ridge, so that separable rows settle
         p = 1 / (1 + np.exp(-np.clip(slope * x + base, -35, 35)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + 0.1 * slope, (p - y).sum() + 0.1 * base])
+        w = weight * p * (1 - p) + 1e-9
+        r = weight * (p - y)
+        g = np.array([(r * x).sum() + 0.1 * slope, r.sum() + 0.1 * base])
         h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
         step = np.clip(np.linalg.solve(h, g), -2, 2)
         slope, base = slope - step[0], base - step[1]
         if np.abs(step).max() < 1e-6:
             break
-    return Model(odds, 1.0, k, float(slope), float(base))
+    return Model(odds, rate, k, float(slope), float(base))
+
+
+def _without_own(docs: DataFrame, known: DataFrame, sums: Counts) -> DataFrame:
+    """y, n_tokens and spans of the labelled texts, each scored by the counts of the others."""
+    sent = docs.sparkSession.sparkContext.broadcast(sums)  # three times BUCKETS numbers
+    span = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("sum", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(tokens)
+        for b in batches:
+            n, spans = [], []
+            for y, text in zip(b.column("y").to_pylist(), b.column("text"), strict=True):
+                pair = np.stack(both(words.of(text.as_py().split())))
+                at, back = np.unique(pair, return_inverse=True)
+                scores = sent.value.scores(at, y)[back].reshape(pair.shape).max(axis=0)
+                n.append(pair.shape[1])
+                spans.append([{"first": s, "end": e, "sum": v} for s, e, v in segments(scores)])
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span))], names=["y", "n_tokens", "spans"])
+
+    return _texts(docs).join(known, "doc_id").select("y", "text").mapInArrow(run, "y int, n_tokens long, spans array<struct<first: long, end: long, sum: double>>")
 
 
 def passages(docs: DataFrame, odds: np.ndarray) -> DataFrame:
@@ -209,17 +273,16 @@ def passages(docs: DataFrame, odds: np.ndarray) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, limit: int = SAMPLE_ROWS) -> Model:
-    """Token scores and calibration. Counts cover all documents; labels come from at most limit rows outside the held-out fold."""
-    chosen = _labelled(docs, labels, label, folds, fold, limit)
+    """Token scores and calibration. Counts cover all documents; labels come from at most limit rows outside the held-out fold, half of each class."""
+    chosen, stands_for = _labelled(docs, labels, label, folds, fold, limit)
     known = _distinct(docs, chosen)  # limit rows at most
     sums = np.zeros((3, BUCKETS))
     for r in counts(docs, known).toLocalIterator():  # BUCKETS rows
         sums[:, r[0]] = r[1:]
-    odds = log_odds(*sums)
+    held = Counts(*sums)
     drawn = F.broadcast(docs.sparkSession.createDataFrame(list(known.items()), "doc_id long, y int"))
-    rows = passages(_texts(docs).join(drawn.select("doc_id"), "doc_id", "left_semi"), odds).join(drawn, "doc_id").select("y", "spans", "n_tokens")
-    best = [(r[0], [tuple(s) for s in r[1]], r[2]) for r in rows.toLocalIterator()]  # limit rows
-    return calibrate(odds, sorted(best))
+    best = [(r[0], [tuple(s) for s in r[2]], r[1]) for r in _without_own(docs, drawn, held).toLocalIterator()]  # limit rows
+    return calibrate(held.scores(), sorted(best), tuple(stands_for))
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
