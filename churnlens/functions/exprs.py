@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-#: Confidence levels in rising order, and the most that each check status allows.
+# Levels in rising order, the most that each check status allows, needs of a precondition, gates, bases that raise doubt.
 LEVELS = ("low", "medium", "high")
-CEILINGS = {"holds": "high", "unchecked": "medium", "narrowed": "medium", "refuted": "low"}
+CEILINGS = {"upheld": "high", "unchecked": "medium", "narrowed": "medium", "inconclusive": "medium", "refuted": "low"}
+NEEDS = ("changed", "default")
+GATES = ("none", "unconfirmed_default", "non_default_setting")
+DOUBTFUL = ("call_site_fallback", "contradicted", "not_found", "unresolved")
+#: The normal quantile of a two-sided interval of 95 percent.
+Z95 = 1.959964
 
 
-def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Bounds of the score interval for k of n in whole percent; 0 and 100 where n is 0."""
+def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
+    """Bounds of the score interval for k of n in whole percent, halves to the even side; 0 and 100 where n is 0."""
     m = F.nullif(n.cast("double"), F.lit(0.0))
     p, z2 = k / m, z * z
     mid = (p + z2 / (2 * m)) / (1 + z2 / m)
     half = z * F.sqrt(p * (1 - p) / m + z2 / (4 * m * m)) / (1 + z2 / m)
-    low, high = F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
-    return F.coalesce(F.round(100 * low).cast("int"), F.lit(0)), F.coalesce(F.round(100 * high).cast("int"), F.lit(100))
+    return F.coalesce(F.bround(100 * (mid - half)).cast("int"), F.lit(0)), F.coalesce(F.bround(100 * (mid + half)).cast("int"), F.lit(100))
 
 
-def normalised(v: Column, over: WindowSpec, floor: float = 0.05) -> Column:
-    """Min-max scaling to floor..1 over a window; 1 where all values are equal."""
-    low, high = F.min(v).over(over), F.max(v).over(over)
+def normalised(v: Column, low: Column, high: Column, floor: float = 0.05) -> Column:
+    """Min-max scaling to floor..1 between the extremes; 1 where all values are equal."""
     return F.coalesce(floor + (1 - floor) * F.try_divide(v - low, (high - low).cast("double")), F.lit(1.0))
 
 
@@ -40,24 +44,24 @@ def token_estimate(text: Column) -> Column:
 
 
 def effective_confidence(claimed: Column, status: Column) -> Column:
-    """The claim held down to the status's ceiling; a narrowed claim also loses a level; an unknown claim is low."""
-    rank = lambda c: F.greatest(F.lit(1), F.array_position(F.array(*map(F.lit, LEVELS)), c).cast("int"))
-    ceiling = F.lit(1)
+    """The claim held down to the status's ceiling; a narrowed claim loses a level first; an unknown claim is low, an unknown status unchecked."""
+    rank = F.greatest(F.lit(1), F.coalesce(F.array_position(F.array(*map(F.lit, LEVELS)), claimed), F.lit(0)).cast("int"))
+    ceiling = F.lit(LEVELS.index(CEILINGS["unchecked"]) + 1)
     for s, c in CEILINGS.items():
         ceiling = F.when(status == s, LEVELS.index(c) + 1).otherwise(ceiling)
-    own = F.when(status == "narrowed", rank(claimed) - 1).otherwise(rank(claimed))
+    own = F.when(status == "narrowed", rank - 1).otherwise(rank)
     return F.element_at(F.array(*map(F.lit, LEVELS)), F.greatest(F.lit(1), F.least(own, ceiling)))
 
 
 def path_problem(path: Column) -> Column:
-    """The first thing wrong with a repository path, or null."""
+    """What keeps a cited path from naming a file of the repository, the gravest first, or null."""
     parts = F.split(path, "/")
     return (
-        F.when(F.coalesce(path, F.lit("")) == "", "empty")
-        .when(path.startswith("/"), "absolute")
-        .when(path.contains("\\"), "backslash")
-        .when(F.array_contains(parts, ".."), "parent")
-        .when(F.array_contains(parts, ".") | F.array_contains(parts, ""), "not canonical")
+        F.when(F.coalesce(path, F.lit("")) == "", "is empty")
+        .when(path.startswith("/") | path.rlike("^[A-Za-z]:"), "is absolute")
+        .when(path.contains("\\"), "contains a backslash")
+        .when(F.array_contains(parts, ".."), "climbs out of the repository with '..'")
+        .when(F.array_contains(parts, ".") | F.array_contains(parts, ""), "is not in canonical form (empty or '.' segment, or a trailing '/')")
     )
 
 
@@ -69,18 +73,18 @@ def parse_range(value: Column) -> tuple[Column, Column]:
     return F.when(good, a), F.when(good, b)
 
 
+_GLOB = re.compile(r"(\*\*/)|(\*\*)|(\*)|(\?)|([\w/-]+)|(.)", re.S)
+
+
 def glob_pattern(glob: str, across: bool = False) -> str:
     """Anchored regular expression of a glob; with across, `**` also spans folders."""
-    out, i = "", 0
-    while i < len(glob):
-        if across and glob.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif across and glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        else:
-            c = glob[i]
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, c if c.isalnum() or c in "_/-" else f"\\{c}"), i + 1
-    return f"^{out}$"
+    here = "[^/]*"
+    put = ("(?:.*/)?", ".*") if across else (f"{here}{here}/", f"{here}{here}")
+
+    def one(m: re.Match) -> str:
+        return (*put, here, "[^/]", m[0], f"\\{m[0]}")[m.lastindex - 1]
+
+    return f"^{_GLOB.sub(one, glob)}$"
 
 
 def content_hash(text: Column) -> Column:
@@ -100,3 +104,29 @@ def ordered(rules: list[tuple[str, str]], subject: Column, otherwise: str) -> Co
     for name, pattern in reversed(rules):
         out = F.when(subject.rlike(pattern), name).otherwise(out)
     return out
+
+
+def fence_length(text: Column) -> Column:
+    """Backticks of a fence that no run inside text closes: one more than the longest run, three at least."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), lambda r: F.length(r))
+    return F.greatest(F.lit(3), 1 + F.coalesce(F.array_max(runs), F.lit(0))).cast("long")
+
+
+def normalised_value(raw: Column) -> Column:
+    """A stated value as a struct of type (none, bool, number, text), num (in seconds where it has a unit of time), infinite, unit, txt."""
+    v = F.lower(F.regexp_replace(F.trim(raw), r"\s+", " "))
+    number = v.rlike(r"^-?[0-9]+(\.[0-9]+)?\s*(s|ms)?$")
+    none, flag, infinite = v.isNull() | v.isin("none", "null"), v.isin("true", "false"), v.isin("inf", "infinity")
+    num = F.regexp_extract(v, r"^(-?[0-9.]+)", 1).try_cast("double") / F.when(v.endswith("ms"), 1000.0).otherwise(1.0)
+    return F.struct(
+        F.when(none, "none").when(flag, "bool").when(number | infinite, "number").otherwise("text").alias("type"),
+        F.when(number, num).alias("num"), F.coalesce(infinite, F.lit(False)).alias("infinite"),
+        F.when(number & v.endswith("s"), "s").alias("unit"), F.when(~none & ~number & ~infinite, v).alias("txt"),
+    )
+
+
+def values_match(a: Column, b: Column) -> Column:
+    """Whether two normalised values say the same; a missing unit fits any."""
+    number = (a["infinite"] == b["infinite"]) & (a["infinite"] | (a["num"] == b["num"])) & F.coalesce(a["unit"] == b["unit"], F.lit(True))
+    same = F.when(a["type"] == "none", F.lit(True)).when(a["type"] == "number", number).otherwise(a["txt"] == b["txt"])
+    return (a["type"] == b["type"]) & F.coalesce(same, F.lit(False))

@@ -126,7 +126,7 @@ def q_candidates(spark, d):
 @query(f"WITH {HISTORY}, {CHURN} SELECT path, round(coalesce(0.05 + 0.95 * (commits - min(commits) OVER ()) / nullif(max(commits) OVER () - min(commits) OVER (), 0), 1.0), 6) AS norm FROM churn")
 def q_normalize(spark, d):
     files = rows(spark, d).groupBy("path").agg(F.count("*").alias("commits"))
-    return files.select("path", F.round(exprs.normalised(F.col("commits"), Window.partitionBy()), 6).alias("norm"))
+    return files.select("path", F.round(exprs.normalised(F.col("commits"), *history.extremes(files, "commits")), 6).alias("norm"))
 
 
 @query(f"""WITH {HISTORY}, f AS (SELECT path, count(*) AS commits, max(adds) AS ccn, (path % 7) / 7.0::DOUBLE AS weight FROM rows_ GROUP BY path),
@@ -327,10 +327,13 @@ def q_topn_other(spark, d):
     return findings.top_and_other(table(spark, d, "part"), "p_brand")
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS path FROM pages) SELECT page_id, path, CASE WHEN path = '' THEN 'empty' WHEN path LIKE '/%' THEN 'absolute' WHEN path LIKE '%\%' THEN 'backslash' ELSE NULL END AS problem FROM p""")
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'C:/' || page_id WHEN 1 THEN regexp_replace(url, '^https?://[^/]*', '') WHEN 2 THEN 'a/../' || page_id WHEN 3 THEN regexp_replace(url, '^https?://', '') ELSE 'a\' || page_id END AS path FROM pages)
+SELECT page_id, path, CASE WHEN path = '' THEN 'is empty' WHEN path LIKE '/%' OR regexp_matches(path, '^[A-Za-z]:') THEN 'is absolute' WHEN contains(path, '\') THEN 'contains a backslash' WHEN list_contains(string_split(path, '/'), '..') THEN 'climbs out of the repository with ' || chr(39) || '..' || chr(39)
+WHEN list_contains(string_split(path, '/'), '.') OR list_contains(string_split(path, '/'), '') THEN 'is not in canonical form (empty or ''.'' segment, or a trailing ''/'')' END AS problem FROM p""")
 def q_path_problem(spark, d):
-    path = F.regexp_replace("url", "^https?://[^/]*", "")
-    return table(spark, d, "pages").select("page_id", path.alias("path"), exprs.path_problem(path).alias("problem"))
+    k, own = F.col("page_id") % 5, F.col("page_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("C:/"), own)).when(k == 1, F.regexp_replace("url", "^https?://[^/]*", "")).when(k == 2, F.concat(F.lit("a/../"), own)).when(k == 3, F.regexp_replace("url", "^https?://", "")).otherwise(F.concat(F.lit("a\\"), own))
+    return table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("problem", exprs.path_problem(F.col("path")))
 
 
 @query(r"SELECT page_id, regexp_replace('././' || substr(regexp_replace(url, '^https?://[^/]*', ''), 2), '^(\./)+', '') AS path FROM pages")
@@ -411,20 +414,27 @@ def q_verdict_matrix(spark, d):
     return table(spark, d, "labels").join(F.broadcast(matrix), ["quality", "toxic"]).groupBy("outcome").agg(F.count("*").alias("n"))  # four rows
 
 
-@query("SELECT o_orderkey, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'non_default_setting' WHEN count(*) FILTER (l_returnflag = 'A' AND l_linestatus <> 'F') > 0 THEN 'unconfirmed_default' ELSE 'none' END AS gate FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+@query("""SELECT o_orderkey, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 OR (o_orderstatus = 'P' AND count(*) FILTER (l_linestatus = 'O' AND l_discount > 0.05) > 0) THEN 'non_default_setting'
+WHEN count(*) FILTER (l_returnflag = 'A' AND l_linestatus <> 'F' AND l_tax > 0.02) > 0 THEN 'unconfirmed_default' ELSE 'none' END AS gate FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus""")
 def q_gate(spark, d):
-    needs = F.when(F.col("l_returnflag") == "R", "non_default").when(F.col("l_returnflag") == "A", "default")
-    state = F.when(F.col("l_linestatus") == "F", "confirmed").otherwise("open")
-    settings = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct(needs.alias("needs"), state.alias("state"))).alias("s"))
-    return table(spark, d, "orders").join(settings, "o_orderkey", "left").select("o_orderkey", F.coalesce(findings.gate(F.col("s")), F.lit("none")).alias("gate"))
-
-
-@query("""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'odd' END AS claimed, CASE WHEN quality = 1 AND toxic = 0 THEN 'holds' WHEN quality = 1 THEN 'narrowed' WHEN toxic = 1 THEN 'refuted' ELSE 'unchecked' END AS status FROM labels),
-r AS (SELECT *, CASE claimed WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END - CASE status WHEN 'narrowed' THEN 1 ELSE 0 END AS own, CASE status WHEN 'holds' THEN 3 WHEN 'refuted' THEN 1 ELSE 2 END AS most FROM c)
-SELECT doc_id, claimed, status, CASE greatest(1, least(own, most)) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS effective FROM r""")
+    needs = F.when(F.col("l_returnflag") == "R", "changed").when(F.col("l_returnflag") == "A", "default")
+    state = F.when(F.col("l_linestatus") == "F", "confirmed").otherwise("unconfirmed")
+    basis = F.when(F.col("l_tax") > 0.02, "contradicted").otherwise("not_checked")
+    field = F.when(F.col("l_linestatus") == "O", "preconditions").otherwise("failure_mode")
+    setting = F.when(F.col("l_discount") > 0.05, F.col("l_partkey"))
+    settings = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_set(F.struct(needs.alias("needs"), state.alias("state"), basis.alias("basis"))).alias("s"), F.collect_set(F.struct(field.alias("field"), setting.alias("setting"))).alias("c"))
+    status = F.when(F.col("o_orderstatus") == "P", "narrowed").otherwise("upheld")
+    return table(spark, d, "orders").join(settings, "o_orderkey", "left").select("o_orderkey", findings.gate(F.col("s"), status, F.col("c")).alias("gate"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'odd' END AS claimed, CASE WHEN doc_id % 11 = 0 THEN 'inconclusive' WHEN doc_id % 13 = 0 THEN 'unheard of' WHEN quality = 1 AND toxic = 0 THEN 'upheld' WHEN quality = 1 THEN 'narrowed' WHEN toxic = 1 THEN 'refuted' ELSE 'unchecked' END AS status FROM labels),
+r AS (SELECT *, greatest(1, CASE claimed WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END - CASE status WHEN 'narrowed' THEN 1 ELSE 0 END) AS own, CASE status WHEN 'upheld' THEN 3 WHEN 'refuted' THEN 1 ELSE 2 END AS most FROM c)
+SELECT doc_id, claimed, status, CASE least(own, most) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS effective FROM r""")
 def q_effective_confidence(spark, d):
     claimed = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "odd"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    status = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "holds").when(F.col("quality") == 1, "narrowed").when(F.col("toxic") == 1, "refuted").otherwise("unchecked")
+    q, t, i = F.col("quality"), F.col("toxic"), F.col("doc_id")
+    status = F.when(i % 11 == 0, "inconclusive").when(i % 13 == 0, "unheard of").when((q == 1) & (t == 0), "upheld").when(q == 1, "narrowed").when(t == 1, "refuted").otherwise("unchecked")
     own = table(spark, d, "labels").select("doc_id", claimed.alias("claimed"), status.alias("status"))
     return own.withColumn("effective", exprs.effective_confidence(F.col("claimed"), F.col("status")))
 
@@ -437,7 +447,9 @@ def q_parse_range(spark, d):
     return table(spark, d, "orders").select("o_orderkey", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("SELECT o_orderstatus, o_orderpriority, k, n, coalesce(CAST(round(100 * greatest(0, (k/n + 1.9208/n) / (1 + 3.8416/n) - 1.96 * sqrt((k/n) * (1 - k/n) / n + 3.8416 / (4.0*n*n)) / (1 + 3.8416/n))) AS INTEGER), 0) AS lo, coalesce(CAST(round(100 * least(1, (k/n + 1.9208/n) / (1 + 3.8416/n) + 1.96 * sqrt((k/n) * (1 - k/n) / n + 3.8416 / (4.0*n*n)) / (1 + 3.8416/n))) AS INTEGER), 100) AS hi FROM (SELECT o_orderstatus, o_orderpriority, count(*) FILTER (o_totalprice > 200000) AS k, count(*) AS n FROM orders GROUP BY 1, 2)")
+@query("""WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) FILTER (o_totalprice > 200000) AS k, count(*) AS n FROM orders GROUP BY 1, 2), w AS (SELECT *, k::DOUBLE / n AS p, 1.959964::DOUBLE AS z FROM c),
+i AS (SELECT *, 1 + z * z / n AS d, p + z * z / (2 * n) AS m, z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS h FROM w)
+SELECT o_orderstatus, o_orderpriority, k, n, CAST(round_even(100 * (m - h) / d, 0) AS INTEGER) AS lo, CAST(round_even(100 * (m + h) / d, 0) AS INTEGER) AS hi FROM i""")
 def q_wilson(spark, d):
     each = table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 200000).alias("k"), F.count("*").alias("n"))
     lo, hi = exprs.wilson(F.col("k"), F.col("n"))
@@ -499,10 +511,10 @@ def q_warn_once(spark, d):
     return usage.once(table(spark, d, "conversations").select("conv_id", "role", "turn", "text"), ["conv_id", "role"], "turn").select("conv_id", "role", "text", "turn")
 
 
-@query(f"WITH {RESPONSES} SELECT pos, CASE WHEN NOT f AND age >= 10 THEN 'fresh' WHEN age < 10 THEN 'cached' WHEN age < 20 THEN 'stale' ELSE 'failed' END AS state FROM (SELECT pos, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS age, pos % 4 = 0 AS f FROM responses)")
+@query(f"WITH {RESPONSES} SELECT pos, CASE WHEN age < 10 AND pos % 3 <> 0 THEN 'cached' WHEN pos % 4 <> 0 THEN 'fresh' WHEN age < 20 THEN 'stale' ELSE 'failed' END AS state FROM (SELECT pos, CASE WHEN pos % 7 <> 0 THEN date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') END AS age FROM responses)")
 def q_cache_state(spark, d):
-    age = F.date_diff(F.lit("2024-01-31").cast("date"), F.col("ts").cast("date"))
-    return responses(spark, d).select("pos", usage.cache_state(age, F.col("pos") % 4 == 0, 10).alias("state"))
+    age = F.when(F.col("pos") % 7 != 0, F.date_diff(F.lit("2024-01-31").cast("date"), F.col("ts").cast("date")))
+    return responses(spark, d).select("pos", usage.cache_state(age, F.col("pos") % 4 == 0, 10, F.col("pos") % 3 == 0).alias("state"))
 
 
 @query("SELECT doc_id, sha256(text) IS DISTINCT FROM CASE WHEN doc_id % 3 = 0 THEN sha256(text) WHEN doc_id % 3 = 1 THEN sha256(source) END AS stale FROM documents")
@@ -529,7 +541,12 @@ def q_edge_cap(spark, d):
 
 @query("SELECT c_mktsegment, CASE WHEN count(*) <= 3 THEN string_agg(c_name, ', ' ORDER BY c_name) ELSE array_to_string(list_slice(list(c_name ORDER BY c_name), 1, 3), ', ') || ' and ' || (count(*) - 3) || ' more' END AS named FROM customer GROUP BY 1")
 def q_named_list(spark, d):
-    best = table(spark, d, "customer").withColumn("r", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_name")))
-    each = best.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("c_name")))).alias("a"))
-    named = F.array_join("a", ", ")
-    return each.select("c_mktsegment", F.when(F.col("n") <= 3, named).otherwise(F.concat(named, F.lit(" and "), (F.col("n") - 3).cast("string"), F.lit(" more"))).alias("named"))
+    own = table(spark, d, "customer").select("c_mktsegment", "c_name")
+    # the first three of a segment come from the first three of each of its parts, so no task ranks a whole segment
+    parts = own.withColumn("part", F.pmod(F.xxhash64("c_name"), F.lit(64)))
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("c_name"))
+    few = parts.withColumn("r", least("c_mktsegment", "part")).where("r <= 3").withColumn("r", least("c_mktsegment")).where("r <= 3")
+    first = few.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ", ").alias("first"))
+    sizes = own.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") <= 3, F.col("first")).otherwise(F.concat("first", F.lit(" and "), (F.col("n") - 3).cast("string"), F.lit(" more")))
+    return sizes.join(first, "c_mktsegment").select("c_mktsegment", more.alias("named"))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from churnlens.jobs.reference import HISTORY, KINDS, LINES, RULE_HITS, RULES, hits, query, rows
 from churnlens.functions import exprs
-from churnlens.operators import findings, leads
+from churnlens.operators import findings, history, leads
 from churnlens.sources.tables import commits, table, touches
 
 REASONS = [("vendored", "^Brand#1"), ("generated", "[02468]$"), ("test data", "PROMO|STANDARD")]
@@ -66,7 +66,7 @@ def q_config_drop(spark, d):
     # the lead is looked for before the scaling, as what is dropped must not stretch the range
     has = F.exists(F.split("text", "\n", -1), lambda x: F.lit(False) | x.rlike("|".join(f"(?:{p})" for _, n, p in RULES if n != "comma")))
     kept = own.where(has | (F.col("lang") != "en")).select("doc_id", "n_chars")
-    return kept.select("doc_id", F.round(exprs.normalised(F.col("n_chars"), Window.partitionBy()), 6).alias("norm"))
+    return kept.select("doc_id", F.round(exprs.normalised(F.col("n_chars"), *history.extremes(kept, "n_chars")), 6).alias("norm"))
 
 
 @query("SELECT doc_id, CASE WHEN r > 1 THEN 'skip' WHEN doc_id % 4 = 0 THEN 'reuse' ELSE 'check' END AS action FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents)")
@@ -96,11 +96,12 @@ def q_lead_precision(spark, d):
     return own.groupBy("rule").agg(F.count("*").alias("read"), F.count_if(F.col("quality") == 0).alias("confirmed"))
 
 
-@query("SELECT a.doc_id, b.doc_id AS full_id FROM (SELECT doc_id, substr(sha256(text), 1, 8) AS short FROM documents WHERE doc_id % 7 = 0) a JOIN (SELECT doc_id, sha256(text) AS f FROM documents) b ON starts_with(b.f, a.short)")
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY substr(sha256(text), 1, 8)) AS first_id, count(*) OVER (PARTITION BY substr(sha256(text), 1, 8)) AS documents FROM documents")
 def q_prefix_join(spark, d):
-    # short hashes have one length, so the prefix is a column and the join an equi-join
-    full = table(spark, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 8).alias("short"))
-    return full.where("doc_id % 7 = 0").join(full.withColumnRenamed("doc_id", "full_id"), "short").select("doc_id", "full_id")
+    # short hashes have one length, so the prefix is a column and the join an equi-join; copies of one text meet in one row, never in pairs
+    own = table(spark, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 8).alias("short"))
+    each = own.groupBy("short").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("documents"))
+    return own.join(each, "short").select("doc_id", "first_id", "documents")
 
 
 @query("SELECT d.doc_id, r.doc_id IS NOT NULL AS recorded FROM documents d LEFT JOIN (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, md5(source) FROM documents WHERE doc_id % 3 = 1) r ON r.doc_id = d.doc_id AND r.h = md5(d.text)")
@@ -181,30 +182,38 @@ def q_age_days(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_diff(F.lit("2002-01-01").cast("date"), F.col("o_orderdate").cast("date")).alias("age"))
 
 
-VALUE_SQL = "CASE event_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'TRUE' WHEN 2 THEN CAST(user_id AS VARCHAR) || 'ms' WHEN 3 THEN CAST(user_id AS VARCHAR) || ' s' ELSE event_type END"
+VALUE_SQL = "CASE event_id % 9 WHEN 0 THEN ' None' WHEN 1 THEN 'TRUE' WHEN 2 THEN CAST(user_id AS VARCHAR) || 'ms' WHEN 3 THEN CAST(user_id AS VARCHAR) || '.5  s' WHEN 4 THEN '-' || user_id WHEN 5 THEN 'Infinity' WHEN 6 THEN '' WHEN 7 THEN NULL ELSE event_type || '  X' END"
 
 
-@query(f"SELECT event_id, CASE WHEN lower(v) IN ('none', 'null', '') THEN 'none' WHEN lower(v) IN ('true', 'false') THEN 'bool' WHEN regexp_matches(v, '^[0-9]+ ?(ms|s)?$') THEN 'number' ELSE 'text' END AS type, CASE WHEN regexp_matches(v, '^[0-9]+ ?(ms|s)?$') THEN CAST(regexp_extract(v, '^([0-9]+)', 1) AS DOUBLE) / CASE WHEN v LIKE '%ms' THEN 1000.0 ELSE 1.0 END END AS num FROM (SELECT event_id, {VALUE_SQL} AS v FROM events)")
+@query(f"""WITH v AS (SELECT event_id, lower(regexp_replace(trim({VALUE_SQL}), '\\s+', ' ', 'g')) AS v FROM events), n AS (SELECT *, regexp_matches(v, '^-?[0-9]+([.][0-9]+)?\\s*(s|ms)?$') AS number FROM v)
+SELECT event_id, CASE WHEN v IS NULL OR v IN ('none', 'null') THEN 'none' WHEN v IN ('true', 'false') THEN 'bool' WHEN number OR v IN ('inf', 'infinity') THEN 'number' ELSE 'text' END AS type,
+CASE WHEN number THEN CAST(regexp_extract(v, '^(-?[0-9.]+)', 1) AS DOUBLE) / CASE WHEN v LIKE '%ms' THEN 1000.0 ELSE 1.0 END END AS num, coalesce(v IN ('inf', 'infinity'), false) AS infinite,
+CASE WHEN number AND v LIKE '%s' THEN 's' END AS unit, CASE WHEN v IS NOT NULL AND NOT number AND v NOT IN ('none', 'null', 'inf', 'infinity') THEN v END AS txt FROM n""")
 def q_normalise_value(spark, d):
-    k, user = F.col("event_id") % 5, F.col("user_id").cast("string")
-    v = F.when(k == 0, "none").when(k == 1, "TRUE").when(k == 2, F.concat(user, F.lit("ms"))).when(k == 3, F.concat(user, F.lit(" s"))).otherwise(F.col("event_type"))
-    own = table(spark, d, "events").select("event_id", v.alias("v"))
-    number = F.col("v").rlike("^[0-9]+ ?(ms|s)?$")
-    kind = F.when(F.lower("v").isin("none", "null", ""), "none").when(F.lower("v").isin("true", "false"), "bool").when(number, "number").otherwise("text")
-    num = F.when(number, F.regexp_extract("v", "^([0-9]+)", 1).try_cast("double") / F.when(F.col("v").endswith("ms"), 1000.0).otherwise(1.0))
-    return own.select("event_id", kind.alias("type"), num.alias("num"))
+    k, user = F.col("event_id") % 9, F.col("user_id").cast("string")
+    v = F.when(k == 0, " None").when(k == 1, "TRUE").when(k == 2, F.concat(user, F.lit("ms"))).when(k == 3, F.concat(user, F.lit(".5  s"))).when(k == 4, F.concat(F.lit("-"), user)).when(k == 5, "Infinity").when(k == 6, "").when(k == 8, F.concat("event_type", F.lit("  X")))
+    return table(spark, d, "events").select("event_id", exprs.normalised_value(v).alias("v")).select("event_id", "v.*")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'call site sets it' WHEN l_linestatus = 'F' AND l_discount > 0.05 THEN 'documented' WHEN l_linestatus = 'F' THEN 'version read' ELSE 'unconfirmed' END AS basis FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_discount > 0.05 THEN 'call_site_fallback' ELSE 'not_checked' END WHEN l_quantity <= 10 THEN 'not_found' WHEN l_linestatus = 'F' AND l_tax > 0.06 THEN 'unresolved'
+WHEN l_discount > 0.08 THEN 'call_site_fallback' WHEN l_quantity <= 20 THEN 'contradicted' WHEN l_quantity <= 40 THEN 'registered' ELSE 'not_checked' END AS basis FROM lineitem""")
 def q_confirm(spark, d):
-    basis = F.when(F.col("l_returnflag") == "R", "call site sets it").when((F.col("l_linestatus") == "F") & (F.col("l_discount") > 0.05), "documented").when(F.col("l_linestatus") == "F", "version read").otherwise("unconfirmed")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", basis.alias("basis"))
+    q = F.col("l_quantity")
+    found = F.when(q <= 10, "not_found").when(q <= 20, "different").when(q <= 40, "same")
+    error = (F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.06)
+    item = F.when(F.col("l_returnflag") != "R", F.struct(found.alias("found"), error.alias("ref_error"), F.lit(None).cast("boolean").alias("names_setting"), (F.col("l_discount") > 0.08).alias("call_site")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", findings.confirmation(F.col("l_discount") > 0.05, item).alias("basis"))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'refuted' WHEN quality = 1 AND toxic = 1 THEN 'holds if set' WHEN quality = 1 THEN 'holds' END AS verdict FROM labels")
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'upheld' WHEN 1 THEN 'narrowed' WHEN 2 THEN 'refuted' WHEN 3 THEN 'inconclusive' ELSE 'unchecked' END AS status, quality, toxic FROM labels)
+SELECT doc_id, status, CASE WHEN status = 'upheld' THEN CASE WHEN toxic = 1 THEN 'upheld_but_gated' ELSE 'upheld' END WHEN status = 'narrowed' THEN CASE WHEN quality = 1 AND toxic = 0 THEN 'upheld_but_gated' ELSE 'narrowed' END WHEN status = 'refuted' THEN 'refuted' END AS verdict FROM c""")
 def q_run_verdict(spark, d):
-    q, t = F.col("quality"), F.col("toxic")
-    return table(spark, d, "labels").select("doc_id", F.when((q == 0) & (t == 1), "refuted").when((q == 1) & (t == 1), "holds if set").when(q == 1, "holds").alias("verdict"))
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    status = F.element_at(F.array(*map(F.lit, ("upheld", "narrowed", "refuted", "inconclusive", "unchecked"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    claim = lambda field, setting: F.struct(F.lit(field).alias("field"), setting.alias("setting"))
+    claims = F.array_compact(F.array(F.when(q, claim("preconditions", F.lit("x"))), F.when(t, claim("failure_mode", F.lit(None).cast("string")))))
+    own = table(spark, d, "labels").select("doc_id", status.alias("status"), claims.alias("claims"), F.when(t, "non_default_setting").otherwise("none").alias("gate"))
+    return own.select("doc_id", "status", findings.run_verdict(F.col("status"), F.col("gate"), F.col("claims")).alias("verdict"))
 
 
 @query("SELECT doc_id, contains(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')), 'of the ') AS quoted FROM documents")
@@ -218,10 +227,9 @@ def q_fill_template(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat(host, F.lit("/blob/"), F.col("page_id").cast("string"), F.lit("#L1")).alias("link"))
 
 
-@query("SELECT page_id, greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(html, '=+'), lambda x: length(x))), 0)) AS fence FROM pages")
+@query("SELECT page_id, greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(replace(html, '=', '`'), '`+'), lambda x: length(x))), 0)) AS fence FROM pages")
 def q_fence_len(spark, d):
-    runs = F.array_max(F.transform(F.regexp_extract_all("html", F.lit("=+"), F.lit(0)), lambda x: F.length(x)))
-    return table(spark, d, "pages").select("page_id", F.greatest(F.lit(3), 1 + F.coalesce(runs, F.lit(0))).cast("long").alias("fence"))
+    return table(spark, d, "pages").select("page_id", exprs.fence_length(F.replace("html", F.lit("="), F.lit("`"))).alias("fence"))
 
 
 @query("SELECT doc_id, concat_ws('; ', CASE WHEN length(text) < 200 THEN 'text too short' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'unknown language' END, CASE WHEN source = 'src3' THEN 'source not allowed' END) AS errors FROM documents WHERE length(text) < 200 OR lang NOT IN ('en', 'de') OR source = 'src3'")
@@ -239,10 +247,10 @@ def q_ref_resolution(spark, d):
     return docs.join(known, "sha", "left").join(paths, "doc_id", "left").select("doc_id", F.when(even & F.col("c"), "commit").when(~even & F.col("p"), "code").otherwise("unresolved").alias("resolved"))
 
 
-@query("SELECT source, sha256(string_agg(md5(text), ',' ORDER BY doc_id)) AS evidence FROM documents GROUP BY source")
+@query("SELECT source, sha256(string_agg(h, ',' ORDER BY part)) AS evidence FROM (SELECT source, doc_id // 4096 AS part, sha256(string_agg(md5(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2) GROUP BY source")
 def q_evidence_hashes(spark, d):
-    held = F.array_sort(F.collect_list(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))))
-    return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(held, lambda x: x["h"]), ","), 256).alias("evidence"))
+    own = table(spark, d, "documents").select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    return findings.tree_hash(own, "source", "doc_id", "h")
 
 
 @query("SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown document' WHEN n > 1 THEN 'labelled twice' WHEN quality NOT IN (0, 1) THEN 'bad label' ELSE 'ok' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM labels) l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang <> 'es'")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from churnlens.functions.exprs import DOUBTFUL
+from churnlens.operators.components import components
+
 BIN = 4
 
 
@@ -23,10 +26,18 @@ def overlaps(ranges: DataFrame, owner: str, path: str, lo: str, hi: str) -> Data
 
 
 def covered(need: DataFrame, have: DataFrame, key: str) -> DataFrame:
-    """Per key (operators 65 and 66): does every needed range lie inside some range that is there, and does every one meet some."""
-    both = need.join(have.select(F.col(key), F.col("lo").alias("l"), F.col("hi").alias("h")), key, "left")
-    each = both.groupBy(key, "lo", "hi").agg(F.coalesce(F.bool_or((F.col("l") <= F.col("lo")) & (F.col("hi") <= F.col("h"))), F.lit(False)).alias("inside"), F.coalesce(F.bool_or((F.col("l") <= F.col("hi")) & (F.col("lo") <= F.col("h"))), F.lit(False)).alias("meets"))
-    return each.groupBy(key).agg(F.every("inside").alias("all_inside"), F.every("meets").alias("all_meet"), F.count("*").alias("ranges"))
+    """Per key (operators 65 and 66): does every needed range lie inside some range that is there, and does every one meet some.
+
+    One sorted pass over a key's ends: the furthest end of all ranges that begin at or before lo reaches hi if one holds the
+    needed range, and that of those that begin at or before hi reaches lo if one meets it. No pairs are made.
+    """
+    own = need.select(key, "lo", "hi").distinct()
+    begins = have.select(F.col(key), F.col("lo").alias("at"), F.lit(0).alias("kind"), F.col("hi").alias("reach"), *(F.lit(None).cast("long").alias(c) for c in ("lo", "hi")))
+    asked = [own.select(F.col(key), F.col(c).alias("at"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("reach"), "lo", "hi") for kind, c in ((1, "lo"), (2, "hi"))]
+    furthest = F.max("reach").over(Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    seen = begins.unionByName(asked[0]).unionByName(asked[1]).withColumn("far", furthest).where("kind > 0")
+    inside, meets = F.coalesce(F.col("far") >= F.col("hi"), F.lit(False)), F.coalesce(F.col("far") >= F.col("lo"), F.lit(False))
+    return seen.groupBy(key).agg(F.every(inside | (F.col("kind") == 2)).alias("all_inside"), F.every(meets | (F.col("kind") == 1)).alias("all_meet"), F.count_if(F.col("kind") == 1).alias("ranges"))
 
 
 def group_survivors(rows: DataFrame, link: str, order: list[Column], member: str) -> DataFrame:
@@ -35,9 +46,53 @@ def group_survivors(rows: DataFrame, link: str, order: list[Column], member: str
     return rows.groupBy(link).agg(least.alias("survivor"), F.count("*").alias("members")).where("members > 1")
 
 
-def gate(settings: Column) -> Column:
-    """non_default_setting over unconfirmed_default over none (operator 121); settings is an array of (needs, state)."""
-    return F.when(F.exists(settings, lambda s: s["needs"] == "non_default"), "non_default_setting").when(F.exists(settings, lambda s: (s["needs"] == "default") & (s["state"] != "confirmed")), "unconfirmed_default").otherwise("none")
+def gate(preconditions: Column, status: Column | None = None, claims: Column | None = None) -> Column:
+    """The gate of a finding (operator 121). preconditions: array of (needs, state, basis); claims: array of (field, setting), those a check refuted.
+
+    A precondition that needs a changed setting gates first, as does a setting that a narrowing check found to be needed; then
+    a default that is unconfirmed for a reason to doubt it.
+    """
+    none = F.lit(False)
+    changed = F.exists(preconditions, lambda p: F.coalesce(p["needs"] == "changed", none))
+    found = none if claims is None else (status == "narrowed") & F.exists(claims, lambda c: F.coalesce((c["field"] == "preconditions") & c["setting"].isNotNull(), none))
+    doubtful = F.exists(preconditions, lambda p: F.coalesce((p["needs"] == "default") & (F.coalesce(p["state"], F.lit("")) != "confirmed") & p["basis"].isin(*DOUBTFUL), none))
+    yes = lambda c: F.coalesce(c, none)
+    return F.when(yes(changed) | yes(found), "non_default_setting").when(yes(doubtful), "unconfirmed_default").otherwise("none")
+
+
+def confirmation(call_site: Column, item: Column) -> Column:
+    """Basis of a default's confirmation (operator 122): item is null where no check looked, else (found, ref_error, names_setting, call_site)."""
+    looked = item.isNotNull()
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(~looked, F.when(yes(call_site), "call_site_fallback").otherwise("not_checked"))
+        .when(yes(item["found"] == "not_found"), "not_found")
+        .when(yes(item["ref_error"]) | yes(~item["names_setting"]), "unresolved")
+        .when(yes(item["call_site"]), "call_site_fallback")
+        .when(yes(item["found"] == "different"), "contradicted")
+        .when(yes(item["found"] == "same"), "registered")
+        .otherwise("not_checked")
+    )
+
+
+def run_verdict(status: Column, gate_: Column, claims: Column) -> Column:
+    """Verdict class of a checked finding, or null (operator 123): claims is an array of (field, setting) that a check refuted."""
+    only_gate = (F.size(claims) > 0) & F.forall(claims, lambda c: F.coalesce((c["field"] == "preconditions") & c["setting"].isNotNull(), F.lit(False)))
+    return (
+        F.when(status == "upheld", F.when(gate_ == "non_default_setting", "upheld_but_gated").otherwise("upheld"))
+        .when(status == "narrowed", F.when(F.coalesce(only_gate, F.lit(False)), "upheld_but_gated").otherwise("narrowed"))
+        .when(status == "refuted", "refuted")
+    )
+
+
+def duplicate_closure(findings: DataFrame, links: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """key, survivor for each finding that its group's first by order absorbs (operator 71). links(key, duplicate_of) counts where both are findings."""
+    ids = findings.select(key).distinct().withColumn("id", F.xxhash64(key))
+    other = ids.select(F.col(key).alias("duplicate_of"), F.col("id").alias("b"))
+    edges = links.join(ids, key).join(other, "duplicate_of").select(F.col("id").alias("a"), "b")
+    grouped = findings.withColumn("node", F.xxhash64(key)).join(components(edges), "node")
+    first = grouped.groupBy("root").agg(F.min_by(key, F.struct(*order)).alias("survivor"))
+    return grouped.join(first, "root").where(F.col(key) != F.col("survivor")).select(key, "survivor")
 
 
 def vocabulary(rows: DataFrame, column: str, words: list[str]) -> DataFrame:
@@ -53,13 +108,27 @@ def top_and_other(rows: DataFrame, column: str, keep: int = 8) -> DataFrame:
     return ranked.groupBy(F.when(F.col("r") <= keep, F.col(column).cast("string")).otherwise("other").alias("bucket")).agg(F.sum("n").alias("n"))
 
 
-def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks (operator 93). Ranks come from counts of each value, so only distinct values are sorted."""
+def spearman(rows: DataFrame, x: str, y: str, parts: int = 256) -> DataFrame:
+    """Rank correlation with average ranks (operator 93). Ranks come from counts of each value; values are dealt into ranges by their
+    quantiles, so that no task sorts them all."""
 
     def ranked(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(c, (upto - (F.col("k") - 1) / 2).alias(f"r_{c}"))
+        cuts = sorted(set(counts.approxQuantile(c, [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+        part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda q: q < F.col(c)))
+        held = counts.withColumn("part", part)
+        sums = held.groupBy("part").agg(F.sum("k").alias("n"))  # a row per range
+        before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+        upto = F.sum("k").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        inner = held.withColumn("upto", upto).join(F.broadcast(before), "part")
+        return inner.select(c, (F.col("before") + F.col("upto") - (F.col("k") - 1) / 2).alias(f"r_{c}"))
 
     out = rows.join(ranked(x), x).join(ranked(y), y)
     return out.agg(F.round(F.corr(f"r_{x}", f"r_{y}"), 6).alias("rho"), F.count("*").alias("n"))
+
+
+def tree_hash(rows: DataFrame, by: str, order: str, digest: str, fan: int = 4096) -> DataFrame:
+    """by, evidence: a hash over each group's digests (operator 136), first over id ranges of fan ids, then over the ranges' hashes."""
+    chained = lambda name, at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, name))), lambda x: x[name]), ","), 256)
+    ranges = rows.groupBy(by, F.floor(F.col(order) / fan).alias("range")).agg(chained(digest, order).alias("h"))
+    return ranges.groupBy(by).agg(chained("h", "range").alias("evidence"))

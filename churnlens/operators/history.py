@@ -65,11 +65,18 @@ def coupled_top(pairs: DataFrame, keep: int = 5) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
 
 
+def extremes(rows: DataFrame, column: str) -> tuple[Column, Column]:
+    """Least and greatest value as scalar subqueries over one partial aggregate: no row of the table goes through one task."""
+    both = rows.select(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    return both["low"], both["high"]
+
+
 def scored(files: DataFrame, churn_by: str, complexity: str, weight: str) -> DataFrame:
     """Hotspot scores (operators 79 and 80) rounded to 4 places before they are ranked."""
-    # one row per path: the extremes are one aggregate row, carried to all
-    whole = Window.partitionBy()
-    out = files.withColumns({"churn_norm": normalised(F.col(churn_by), whole), "complexity_norm": normalised(F.col(complexity), whole)})
+    columns = {}
+    for name, by in (("churn_norm", churn_by), ("complexity_norm", complexity)):
+        columns[name] = normalised(F.col(by), *extremes(files, by))
+    out = files.withColumns(columns)
     return out.withColumn("score", F.round(F.col("churn_norm") * F.col("complexity_norm") * (1 + F.col(weight)), 4))
 
 

@@ -29,7 +29,8 @@ def framed_leads(docs: DataFrame, hit: str, before: int, after: int, present: st
     of the whole text, is tested first.
     """
     gated = docs if gate is None else docs.where(F.col("text").rlike(gate))
-    own = gated.where(F.col("text").rlike(f"(?m){hit}")).select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    # texts are kept by their lines, as anchors and looks around mean something else in a whole text
+    own = gated.select("doc_id", F.split("text", "\n", -1).alias("ls")).where(F.exists("ls", lambda x: x.rlike(hit)))
     found = own.select("doc_id", "ls", F.posexplode("ls").alias("i", "line")).where(F.col("line").rlike(hit))
     first = F.greatest(F.lit(0), F.col("i") + before)
     frame = F.array_join(F.slice("ls", first + 1, F.greatest(F.lit(0), F.col("i") + after - first + 1)), "\n")

@@ -31,9 +31,11 @@ def running_budget(rows: DataFrame, by: list[str], order: list[Column], value: s
     return rows.withColumn("running", total).where(F.col("running") <= limit)
 
 
-def cache_state(age: Column, failed: Column, most: float) -> Column:
-    """fresh, cached, stale or failed by age and whether the refresh failed (operator 143)."""
-    return F.when(~failed & (age >= most), "fresh").when(age < most, "cached").when(age < 2 * most, "stale").otherwise("failed")
+def cache_state(age: Column, failed: Column, most: float, refresh: Column | None = None) -> Column:
+    """cached, fresh, stale or failed (operator 143): a copy younger than most is used unless a refresh is asked for; else a fetch
+    that does not fail is fresh; after a failed one a copy younger than twice most is stale. A null age means no usable copy."""
+    asked = F.lit(False) if refresh is None else F.coalesce(refresh, F.lit(False))
+    return F.when((age < most) & ~asked, "cached").when(~F.coalesce(failed, F.lit(True)), "fresh").when(age < 2 * most, "stale").otherwise("failed")
 
 
 def once(rows: DataFrame, by: list[str], order: str) -> DataFrame:

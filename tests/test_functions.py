@@ -1,10 +1,10 @@
 """Known answers and edge cases of the column builders and operators."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from churnlens.functions import exprs
 from churnlens.operators import findings, history, leads, usage
@@ -20,14 +20,15 @@ def test_wilson_known_answers(spark):
 
 
 def test_normalise(spark):
-    w = Window.partitionBy()
-    assert [round(r[0], 6) for r in one(spark, "v double", [(1.0,), (3.0,), (2.0,)], exprs.normalised(F.col("v"), w))] == [0.05, 1.0, 0.525]
-    assert one(spark, "v double", [(2.0,), (2.0,)], exprs.normalised(F.col("v"), w)) == [(1.0,), (1.0,)]
+    for values, want in (([1.0, 3.0, 2.0], [0.05, 1.0, 0.525]), ([2.0, 2.0], [1.0, 1.0])):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert [round(r[0], 6) for r in df.select(exprs.normalised(F.col("v"), *history.extremes(df, "v"))).collect()] == want
 
 
 def test_paths_and_globs(spark):
-    paths = [("",), (None,), ("/a",), ("a\\b",), ("a/../b",), ("./a",), ("a//b",), ("a/b",)]
-    assert [r[0] for r in one(spark, "p string", paths, exprs.path_problem(F.col("p")))] == ["empty", "empty", "absolute", "backslash", "parent", "not canonical", "not canonical", None]
+    paths = [("",), (None,), ("/a",), ("a\\b",), ("a/../b",), ("./a",), ("a//b",), ("a/b",), ("C:/x",)]
+    canonical, climbs = "is not in canonical form (empty or '.' segment, or a trailing '/')", "climbs out of the repository with '..'"
+    assert [r[0] for r in one(spark, "p string", paths, exprs.path_problem(F.col("p")))] == ["is empty", "is empty", "is absolute", "contains a backslash", climbs, canonical, canonical, None, "is absolute"]
     assert re.match(exprs.glob_pattern("*.p?"), "a.py") and not re.match(exprs.glob_pattern("*.p?"), "d/a.py")
     assert re.match(exprs.glob_pattern("**/x*.c", across=True), "a/b/xy.c") and re.match(exprs.glob_pattern("**/x*.c", across=True), "x.c")
 
@@ -38,8 +39,53 @@ def test_ranges(spark, value, want):
 
 
 def test_confidence(spark):
-    rows = [("high", "holds"), ("high", "narrowed"), ("medium", "narrowed"), ("high", "refuted"), ("odd", "holds"), ("high", "unchecked"), ("low", "narrowed")]
-    assert [r[0] for r in one(spark, "c string, s string", rows, exprs.effective_confidence(F.col("c"), F.col("s")))] == ["high", "medium", "low", "low", "low", "medium", "low"]
+    rows = [("high", "upheld"), ("high", "narrowed"), ("medium", "narrowed"), ("high", "refuted"), ("odd", "upheld"), ("high", "unchecked"), ("low", "narrowed"), ("high", "inconclusive"), ("high", "unheard of"), (None, None)]
+    assert [r[0] for r in one(spark, "c string, s string", rows, exprs.effective_confidence(F.col("c"), F.col("s")))] == ["high", "medium", "low", "low", "low", "medium", "low", "medium", "medium", "low"]
+
+
+def test_cache_states(spark):
+    rows = [(None, False, False), (None, True, False), (3, False, False), (3, False, True), (3, True, True), (15, True, False), (15, False, False), (25, True, False)]
+    got = one(spark, "a int, f boolean, r boolean", rows, usage.cache_state(F.col("a"), F.col("f"), 10, F.col("r")))
+    assert [r[0] for r in got] == ["fresh", "failed", "cached", "fresh", "stale", "stale", "fresh", "failed"]
+
+
+def test_values(spark):
+    rows = [(None,), ("",), (" NULL ",), ("True",), ("-1.5",), ("250 ms",), ("3s",), ("inf",), ("a  B",), ("1.",)]
+    got = [(r["type"], r["num"], r["infinite"], r["unit"], r["txt"]) for (r,) in one(spark, "v string", rows, exprs.normalised_value(F.col("v")))]
+    assert got == [("none", None, False, None, None), ("text", None, False, None, ""), ("none", None, False, None, None), ("bool", None, False, None, "true"), ("number", -1.5, False, None, None), ("number", 0.25, False, "s", None), ("number", 3.0, False, "s", None), ("number", None, True, None, None), ("text", None, False, None, "a b"), ("text", None, False, None, "1.")]
+    pairs = [("250ms", "0.25 s", True), ("1", "1 s", True), ("inf", "Infinity", True), ("inf", "1", False), ("true", "false", False), ("A b", "a  B", True), (None, "none", True), ("", None, False)]
+    match = exprs.values_match(exprs.normalised_value(F.col("a")), exprs.normalised_value(F.col("b")))
+    assert [r[0] for r in one(spark, "a string, b string, w boolean", pairs, match)] == [w for *_, w in pairs]
+
+
+def test_gates_and_verdicts(spark):
+    ddl = "p array<struct<needs: string, state: string, basis: string>>, s string, c array<struct<field: string, setting: string>>"
+    rows = [([("changed", None, None)], "upheld", []), ([], "narrowed", [("preconditions", "x")]), ([], "upheld", [("preconditions", "x")]), ([("default", "unconfirmed", "not_checked")], "upheld", []),
+            ([("default", "unconfirmed", "contradicted")], "narrowed", [("failure_mode", None)]), ([("default", "confirmed", "contradicted")], "refuted", []), (None, None, None), ([], "narrowed", [("preconditions", "x"), ("failure_mode", None)])]
+    df = spark.createDataFrame(rows, ddl).withColumn("g", findings.gate(F.col("p"), F.col("s"), F.col("c")))
+    got = [tuple(r) for r in df.select("g", findings.run_verdict(F.col("s"), F.col("g"), F.col("c"))).collect()]
+    assert got == [("non_default_setting", "upheld_but_gated"), ("non_default_setting", "upheld_but_gated"), ("none", "upheld"), ("none", "upheld"), ("unconfirmed_default", "narrowed"), ("none", "refuted"), ("none", None), ("non_default_setting", "narrowed")]
+
+
+def test_fences(spark):
+    assert [r[0] for r in one(spark, "t string", [("a",), ("````",), ("`",), (None,)], exprs.fence_length(F.col("t")))] == [3, 5, 3, 3]
+
+
+def test_duplicate_closure(spark):
+    f = spark.createDataFrame([(k, i) for i, k in enumerate("edcba")] + [("z", 9)], "key string, ord int")
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("e", "nobody"), ("d", "d"), ("z", None)], "key string, duplicate_of string")
+    got = {tuple(r) for r in findings.duplicate_closure(f, links, "key", [F.col("ord")]).collect()}
+    assert got == {("a", "c"), ("b", "c")}
+
+
+def test_ranges_are_covered_in_one_pass(spark):
+    rng = random.Random(4)
+    need = [(k, lo, lo + rng.randrange(6)) for k in range(20) for lo in rng.sample(range(40), 4)]
+    have = [(k, lo, lo + rng.randrange(9)) for k in range(18) for lo in rng.sample(range(40), rng.randrange(1, 9))]
+    got = {r["k"]: (r["all_inside"], r["all_meet"], r["ranges"]) for r in findings.covered(spark.createDataFrame(need, "k long, lo long, hi long"), spark.createDataFrame(have, "k long, lo long, hi long"), "k").collect()}
+    for k in range(20):
+        own, there = {x[1:] for x in need if x[0] == k}, [x[1:] for x in have if x[0] == k]
+        assert got[k] == (all(any(a <= lo and hi <= b for a, b in there) for lo, hi in own), all(any(a <= hi and lo <= b for a, b in there) for lo, hi in own), len(own))
 
 
 def test_escape_and_clip(spark):
@@ -53,6 +99,10 @@ def test_framed_leads_equal_window_frames(spark):
     fast = leads.framed_leads(docs, "b", -1, 1, absent="a").select("doc_id", "line_no").collect()
     slow = leads.framed(leads.lines(docs), -1, 1).where("line RLIKE 'b' AND NOT frame RLIKE 'a'").select("doc_id", "line_no").collect()
     assert sorted(fast) == sorted(slow) == [(1, 4), (2, 1)]
+    for hit in ("^$", r"\Ab", r"b\d\z", "(?<!x)c$", "^[^a]"):
+        fast = leads.framed_leads(docs, hit, -1, 1).select("doc_id", "line_no").collect()
+        slow = leads.framed(leads.lines(docs), -1, 1).where(F.col("line").rlike(hit)).select("doc_id", "line_no").collect()
+        assert sorted(fast) == sorted(slow) and fast
 
 
 def test_coupling_counts_small_baskets_only(spark):
