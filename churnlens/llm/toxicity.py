@@ -14,6 +14,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,10 @@ class Counts:
     toxic: np.ndarray
     other: np.ndarray
 
+    @cached_property
+    def totals(self) -> tuple[float, float, float]:
+        return float(self.everywhere.sum()), float(self.toxic.sum()), float(self.other.sum())
+
     def scores(self, at: np.ndarray | slice = slice(None), label: int | None = None) -> np.ndarray:
         """Scores of the buckets at: the log-odds of clearly toxic ones, -DRIFT for the rest.
 
@@ -182,8 +187,9 @@ class Counts:
         """
         n = 0 if label is None else len(at)
         toxic, other = self.toxic[at] - (label == 1), self.other[at] - (label == 0)
-        prior = PRIOR * self.everywhere[at] / max(1.0, self.everywhere.sum())
-        all_toxic, all_other = self.toxic.sum() - n * (label == 1) + PRIOR, self.other.sum() - n * (label == 0) + PRIOR
+        tokens_, toxic_, other_ = self.totals
+        prior = PRIOR * self.everywhere[at] / max(1.0, tokens_)
+        all_toxic, all_other = toxic_ - n * (label == 1) + PRIOR, other_ - n * (label == 0) + PRIOR
         y, x = np.maximum(toxic, 0) + prior, np.maximum(other, 0) + prior
         with np.errstate(divide="ignore", invalid="ignore"):  # a bucket that no document has
             odds = np.log(y / (all_toxic - y)) - np.log(x / (all_other - x))
@@ -281,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         sums[:, r[0]] = r[1:]
     held = Counts(*sums)
     drawn = F.broadcast(docs.sparkSession.createDataFrame(list(known.items()), "doc_id long, y int"))
-    best = [(r[0], [tuple(s) for s in r[2]], r[1]) for r in _without_own(docs, drawn, held).toLocalIterator()]  # limit rows
+    best = [(r[0], [tuple(s) for s in r[2]], r[1]) for r in _without_own(docs, drawn, held).collect()]  # limit rows
     return calibrate(held.scores(), sorted(best), tuple(stands_for))
 
 
