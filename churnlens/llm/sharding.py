@@ -16,6 +16,9 @@ from churnlens.llm.common import staged, text_of
 from churnlens.llm.mixing import running
 
 SHARDS, ROUNDS, PARTS = 16, 8, 256
+#: Rows that one task numbers: the whole table is numbered in as many parts as that makes, PARTS at least.
+PART_ROWS = 100_000
+_HASHES = 1 << 30
 
 
 def _values(spark, numbers: list[int]) -> Column:
@@ -58,8 +61,10 @@ def shard(docs: DataFrame, link: Column, size: Column, shards: int = SHARDS) ->
     empty, so they are linked with each other and with empty texts. An empty table gives no rows.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), size.cast("long").alias("size"), F.crc32(text_of(docs).cast("binary")).alias("text_crc32"), link.alias("link"))
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int")).withColumn("start", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("hash", F.pmod(F.xxhash64("doc_id", "row"), F.lit(_HASHES))).withColumn("start", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
     total = rows.count()
+    parts = max(PARTS, -(-total // PART_ROWS))
+    rows = rows.withColumn("h", F.floor(F.col("hash") * parts / _HASHES).cast("int")).drop("hash")
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     groups = staged(rows.groupBy("link", "start").agg(F.count("*").alias("n")))
     linked = groups.withColumn("all", F.sum("n").over(Window.partitionBy("link"))).where("all > 1").select("link", F.col("start").alias("shard"), "n")
@@ -109,3 +114,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """shard with equal texts linked and sizes in UTF-8 bytes plus one."""
     text = text_of(docs)
     return shard(docs, F.md5(text.cast("binary")), F.octet_length(text) + 1, shards)
+
+
+def edge_cut(placed: DataFrame, link: str, shard: str = "shard") -> DataFrame:
+    """One row: pairs of linked rows, and how many of them lie in different shards. Counts of a link's rows by shard tell both, so no pair is made."""
+    blocks = placed.groupBy(link, shard).agg(F.count("*").cast("double").alias("n"))
+    each = blocks.groupBy(link).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    pairs, cut = F.sum(F.col("all") * (F.col("all") - 1) / 2), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)
+    return each.agg(F.coalesce(pairs, F.lit(0.0)).cast("long").alias("linked_pairs"), F.coalesce(cut, F.lit(0.0)).cast("long").alias("cut_pairs"))

@@ -41,3 +41,18 @@ def test_awkward_rows(spark):
     check(awkward(spark))
     check(awkward(spark), shards=5)
     assert sharding.shard_documents(none(spark)).count() == 0
+
+
+def test_propagation_cuts_few_links(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    rows = check(docs)
+    df = spark.createDataFrame([((r["size"] << 32) | r["text_crc32"], r["shard"], r["doc_id"] % 16) for r in rows], "link long, shard int, start int")
+    cut, before = sharding.edge_cut(df, "link").first(), sharding.edge_cut(df, "link", "start").first()
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if (a["size"], a["text_crc32"]) == (b["size"], b["text_crc32"])]
+    assert cut["linked_pairs"] == len(pairs) and cut["cut_pairs"] == sum(a["shard"] != b["shard"] for a, b in pairs)
+    assert cut["cut_pairs"] <= 0.02 * len(pairs) < before["cut_pairs"]
+
+
+def test_more_parts_change_no_law(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 1)
+    check(spark.createDataFrame([(i, f"t{i // 3}") for i in range(700)], "doc_id long, text string"))
