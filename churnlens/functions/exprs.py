@@ -31,11 +31,11 @@ def normalised(v: Column, low: Column, high: Column, floor: float = 0.05) -> Col
     return F.coalesce(floor + (1 - floor) * F.try_divide(v - low, (high - low).cast("double")), F.lit(1.0))
 
 
-def clip(text: Column, tokens: int, head: float = 0.7, tail: float = 0.25) -> Column:
-    """text if it fits into tokens of four characters, else its head and tail with the count of what is left out between."""
-    room = tokens * 4
+def clip(text: Column, tokens: int, note: str = "trimmed", head: float = 0.7, tail: float = 0.25) -> Column:
+    """text if it fits into tokens of four characters, else its head and tail, and between them a note of how much is left out."""
+    room = max(0, tokens) * 4
     a, b = int(room * head), int(room * tail)
-    cut = F.concat(F.left(text, F.lit(a)), F.lit("\n[... "), (F.length(text) - a - b).cast("string"), F.lit(" characters left out ...]\n"), F.right(text, F.lit(b)))
+    cut = F.concat(F.left(text, F.lit(a)), F.lit(f"\n\n... [{note}: "), (F.length(text) - a - b).cast("string"), F.lit(" characters omitted] ...\n\n"), F.right(text, F.lit(b)))
     return F.when(F.length(text) <= room, text).otherwise(cut)
 
 

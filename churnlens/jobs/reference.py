@@ -302,7 +302,7 @@ def q_tokens_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", exprs.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 800 THEN text ELSE left(text, 560) || chr(10) || '[... ' || CAST(length(text) - 760 AS VARCHAR) || ' characters left out ...]' || chr(10) || right(text, 200) END AS clipped FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) <= 800 THEN text ELSE left(text, 560) || chr(10) || chr(10) || '... [trimmed: ' || CAST(length(text) - 760 AS VARCHAR) || ' characters omitted] ...' || chr(10) || chr(10) || right(text, 200) END AS clipped FROM documents")
 def q_clip(spark, d):
     return table(spark, d, "documents").select("doc_id", exprs.clip(F.col("text"), 200).alias("clipped"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions import code
 from churnlens.jobs.reference import query
-from churnlens.operators import findings, log
+from churnlens.operators import evidence, findings, log, rules
 from churnlens.sources.tables import table
 
 #: How a document's prose is made into text with comment marks, quotes and brackets: (from, to), in this order.
@@ -126,3 +126,84 @@ SELECT node AS key, survivor FROM g JOIN s USING (root) WHERE node <> survivor""
 def q_duplicate_closure(spark, d):
     f = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.when((F.col("o_orderkey") % 10 != 0) & (F.col("o_orderstatus") != "F"), F.col("o_orderkey") + 1).alias("duplicate_of"))
     return findings.duplicate_closure(f.select("key", "price"), f.select("key", "duplicate_of"), "key", [F.col("price"), F.col("key")])
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN 'reuse' WHEN 1 THEN 'skip' ELSE 'check' END AS action, CASE l_partkey % 4 WHEN 0 THEN 'upheld' WHEN 1 THEN 'narrowed' WHEN 2 THEN 'refuted' ELSE 'inconclusive' END AS verdict, l_quantity AS q, l_discount AS dc, l_tax AS tx, l_suppkey AS s FROM lineitem),
+f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN action = 'reuse' THEN CASE WHEN s % 2 = 0 THEN 'upheld' ELSE 'refuted' END WHEN action = 'skip' THEN 'unchecked' WHEN q <= 3 THEN 'unchecked' WHEN q <= 6 THEN 'unchecked' WHEN q <= 9 THEN 'unchecked' WHEN q <= 12 THEN 'unchecked'
+WHEN verdict IN ('refuted', 'narrowed') AND s % 5 = 0 THEN 'inconclusive' WHEN verdict IN ('refuted', 'narrowed') AND dc > 0.08 THEN 'inconclusive' WHEN verdict = 'narrowed' AND dc < 0.02 THEN 'inconclusive' ELSE verdict END AS status,
+CASE WHEN action = 'reuse' THEN 'reused' WHEN action = 'skip' THEN 'skipped' WHEN q <= 3 THEN 'no result' WHEN q <= 6 THEN 'failed' WHEN q <= 9 THEN 'contract' WHEN q <= 12 THEN 'stale'
+WHEN verdict IN ('refuted', 'narrowed') AND s % 5 = 0 THEN 'no evidence' WHEN verdict IN ('refuted', 'narrowed') AND dc > 0.08 THEN 'self-reference' WHEN verdict = 'narrowed' AND dc < 0.02 THEN 'does not say what holds' ELSE 'verdict' END AS rule, tx FROM l)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN status = 'upheld' AND tx > 0.05 THEN 'inconclusive' ELSE status END AS status, CASE WHEN status = 'upheld' AND tx > 0.05 THEN 'unconfirmed default' ELSE rule END AS rule FROM f""")
+def q_settle(spark, d):
+    k, q, dc = (F.col("l_orderkey") + F.col("l_linenumber")) % 6, F.col("l_quantity"), F.col("l_discount")
+    action = F.when(k == 0, "reuse").when(k == 1, "skip").otherwise("check")
+    verdict = F.element_at(F.array(*map(F.lit, ("upheld", "narrowed", "refuted", "inconclusive"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    ledger = F.when(F.col("l_suppkey") % 2 == 0, "upheld").otherwise("refuted")
+    told = evidence.settled(action, q > 3, q <= 6, q > 9, q > 12, verdict, F.col("l_suppkey") % 5, dc > 0.08, F.when(dc < 0.02, " ").otherwise("part"), F.when(F.col("l_tax") > 0.05, 1), ledger)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", told.alias("t")).select("l_orderkey", "l_linenumber", "l_partkey", "t.*")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey AS name, 'v' || l_suppkey % 3 AS version, CASE l_orderkey % 3 WHEN 0 THEN 'a/b.py' WHEN 1 THEN 'a/../b.py' ELSE 'c.py' END AS path, l_linenumber AS a, l_linenumber + CAST(l_quantity AS BIGINT) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 7 = 0 THEN 'is not a dependency reference' WHEN p_size <= 10 THEN 'is not an available dependency' WHEN 'v' || p_partkey % 3 <> version THEN 'was read at another version'
+WHEN path LIKE '%..%' THEN 'climbs out of the repository with ' || chr(39) || '..' || chr(39) WHEN path = 'c.py' THEN 'no such file' WHEN b > p_size THEN 'lines are outside the file' END AS problem FROM r JOIN part ON p_partkey = l_partkey""")
+def q_dep_ref(spark, d):
+    i = table(spark, d, "lineitem")
+    s = lambda c: c.cast("long").cast("string")
+    k = F.col("l_orderkey") % 3
+    path = F.when(k == 0, "a/b.py").when(k == 1, "a/../b.py").otherwise("c.py")
+    ref = F.concat(F.lit("npm:@x/"), s(F.col("l_partkey")), F.lit("@v"), s(F.col("l_suppkey") % 3), F.lit(":"), path, F.lit(":"), s(F.col("l_linenumber")), F.lit("-"), s(F.col("l_linenumber") + F.col("l_quantity").cast("long")))
+    refs = i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_orderkey") % 7 == 0, F.concat(F.lit("x"), ref)).otherwise(ref).alias("ref"))
+    p = table(spark, d, "part")
+    name = F.concat(F.lit("npm:@x/"), s(F.col("p_partkey"))).alias("id")
+    packages = p.select(name, F.concat(F.lit("v"), s(F.col("p_partkey") % 3)).alias("version"), F.when(F.col("p_size") > 10, "available").otherwise("missing").alias("status"))
+    files = p.select(name, F.lit("a/b.py").alias("path"), F.col("p_size").cast("long").alias("n_lines"))
+    return evidence.dependency_refs(refs, packages, files).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "problem")
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS key, l_partkey AS path, CAST(l_linenumber AS BIGINT) AS lo, CAST(l_linenumber + l_quantity AS BIGINT) AS hi FROM lineitem), b AS (SELECT DISTINCT l_partkey AS path, CAST(l_quantity AS BIGINT) AS line, CASE WHEN l_returnflag = 'R' THEN repeat('0', 40) ELSE sha256(CAST(l_suppkey AS VARCHAR)) END AS sha FROM lineitem)
+SELECT key, array_to_string(list_sort(list(DISTINCT sha)), ',') AS shas FROM r JOIN b ON b.path = r.path AND line BETWEEN lo AND hi AND sha <> repeat('0', 40) GROUP BY key""")
+def q_blame(spark, d):
+    i = table(spark, d, "lineitem")
+    ranges = i.select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("path"), F.col("l_linenumber").cast("long").alias("lo"), (F.col("l_linenumber") + F.col("l_quantity")).cast("long").alias("hi"))
+    sha = F.when(F.col("l_returnflag") == "R", evidence.ZERO_SHA).otherwise(F.sha2(F.col("l_suppkey").cast("string"), 256))
+    blame = i.select(F.col("l_partkey").alias("path"), F.col("l_quantity").cast("long").alias("line"), sha.alias("sha"))
+    return evidence.introduced(ranges, blame, ["key"]).select("key", F.array_join("shas", ",").alias("shas"))
+
+
+@query(None)
+def q_excerpt_budget(spark, d):
+    """No SQL: what fits depends on all spans before it. Tested against a plain count of lines."""
+    i = table(spark, d, "lineitem")
+    spans = i.select(F.col("l_partkey").alias("path"), (-F.col("l_extendedprice")).alias("rank"), (F.col("l_linenumber") * 40).cast("long").alias("lo"), (F.col("l_linenumber") * 40 + F.col("l_quantity")).cast("long").alias("hi"), F.lit(300).cast("long").alias("n_lines"))
+    return evidence.excerpts(spans, 150)
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END AS doc FROM events)
+SELECT event_id, CASE WHEN json_valid(doc) THEN CAST(json_extract_string(doc, '$.k') AS VARCHAR) ELSE 'none' END AS k FROM e""")
+def q_json_default(spark, d):
+    doc = F.when(F.col("event_id") % 3 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(doc, "$.k"), F.lit("none")).alias("k"))
+
+
+#: Rules of the one-pass query: all kinds of tests over the prose of the documents.
+TABLE = [
+    rules.Rule("after_heading", 1, pattern=r"^[A-Z][a-z]+ ", window=3, present_within="[0-9]{3,}"),
+    rules.Rule("shout", 2, pattern="!!", require="[A-Z]{5}"),
+    rules.Rule("no_end", 3, "en", pattern=r"[a-z]$", window=2, window_before=1, absent_within=r"\.$"),
+    rules.Rule("first_numeral", 4, kind="absent", anchor="[0-9]", absent="@", require="[0-9]{4}"),
+    rules.Rule("bar", 5, pattern=r"\|", absent_before="#", absent_before_window=2),
+]
+RULE_TABLE_SQL = """WITH lines AS (SELECT doc_id, lang, text, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line, ls FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)),
+h1 AS (SELECT doc_id, n, 1 AS ord, 'after_heading' AS rule, line FROM lines WHERE regexp_matches(line, '^[A-Z][a-z]+ ') AND regexp_matches(array_to_string(ls[n:n + 2], chr(10)), '[0-9]{3,}')),
+h2 AS (SELECT doc_id, n, 2, 'shout', line FROM lines WHERE contains(line, '!!') AND regexp_matches(text, '[A-Z]{5}')),
+h3 AS (SELECT doc_id, n, 3, 'no_end', line FROM lines WHERE lang = 'en' AND regexp_matches(line, '[a-z]$') AND NOT regexp_matches(array_to_string(ls[greatest(1, n - 1):n + 1], chr(10)), '\\.$')),
+h4 AS (SELECT doc_id, n, 4, 'first_numeral', line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM lines WHERE regexp_matches(line, '[0-9]') AND NOT contains(text, '@') AND regexp_matches(text, '[0-9]{4}')) WHERE r = 1),
+h5 AS (SELECT doc_id, n, 5, 'bar', line FROM lines WHERE contains(line, '|') AND NOT contains(array_to_string(ls[greatest(1, n - 2):n - 1], chr(10)), '#')),
+a AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM h5),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule ORDER BY n) AS r FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY ord) AS o FROM c WHERE r <= 5)
+SELECT doc_id, n AS line_no, rule, substr(trim(line), 1, 200) AS snippet FROM k WHERE o = 1"""
+
+
+@query(RULE_TABLE_SQL)
+def q_rule_table(spark, d):
+    return rules.run_rules(table(spark, d, "documents"), TABLE, lang="lang")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from churnlens.functions import exprs
-from churnlens.operators import findings, history, leads, usage
+from churnlens.operators import evidence, findings, history, leads, rules, usage
 
 
 def one(spark, ddl, rows, *columns):
@@ -91,7 +91,7 @@ def test_ranges_are_covered_in_one_pass(spark):
 def test_escape_and_clip(spark):
     assert one(spark, "t string", [("<a>&  ",)], exprs.escape_markup(F.col("t"))) == [("\\u003ca\\u003e\\u0026\\u2028\\u2029",)]
     text = one(spark, "t string", [("x" * 100,)], exprs.clip(F.col("t"), 10))[0][0]
-    assert text.startswith("x" * 28 + "\n[... 62 ") and text.endswith("x" * 10)
+    assert text.startswith("x" * 28 + "\n\n... [trimmed: 62 characters omitted] ...\n\n") and text.endswith("x" * 10)
 
 
 def test_framed_leads_equal_window_frames(spark):
@@ -122,3 +122,46 @@ def test_last_response_and_empty_tables(spark):
     got = usage.last_response(spark.createDataFrame([(1, 1, 5), (1, 3, 7), (1, 2, 6), (None, 4, 1), (None, 5, 1)], ddl), "message", "pos").collect()
     assert sorted((r["message"] or 0, r["tokens"]) for r in got) == [(0, 1), (0, 1), (1, 7)]
     assert usage.last_response(spark.createDataFrame([], ddl), "message", "pos").count() == 0
+
+
+def test_dependency_references(spark):
+    refs = ["pypi:kombu@5.7.0a1:kombu/utils.py:318-332", "npm:@a/b@1.0:x.js:3", "npm:@a/b@2.0:x.js:3", "npm:@a/b@1.0:y.js:3", "npm:@a/b@1.0:x.js:4-2", "npm:@a/b@1.0:../x.js:1", "npm:gone@1:x:1", "npm:none", "", None, "npm:@a/b@1.0:x.js:9-11"]
+    df = spark.createDataFrame([(r,) for r in refs], "ref string")
+    packages = spark.createDataFrame([("pypi:kombu", "5.7.0a1", "available"), ("npm:@a/b", "1.0", "available"), ("npm:gone", "1", "missing")], "id string, version string, status string")
+    files = spark.createDataFrame([("pypi:kombu", "kombu/utils.py", 400), ("npm:@a/b", "x.js", 10)], "id string, path string, n_lines long")
+    got = {r["ref"]: (r["problem"], r["first"], r["last"]) for r in evidence.dependency_refs(df, packages, files).collect()}
+    assert got["pypi:kombu@5.7.0a1:kombu/utils.py:318-332"] == (None, 318, 332) and got["npm:@a/b@1.0:x.js:3"] == (None, 3, 3)
+    wrong = ["was read at another version", "no such file", "lines are outside the file", "climbs out of the repository with '..'", "is not an available dependency", *["is not a dependency reference"] * 3, "lines are outside the file"]
+    assert [got[r][0] for r in refs[2:]] == wrong
+
+
+def test_excerpts_fill_the_budget(spark):
+    rng = random.Random(8)
+    rows = [(p, rng.random(), lo, lo + rng.randrange(30), 120) for p in range(30) for lo in rng.sample(range(1, 110), rng.randrange(1, 9))]
+    got = {}
+    for r in evidence.excerpts(spark.createDataFrame(rows, "path long, rank double, lo long, hi long, n_lines long"), 40).collect():
+        got.setdefault(r["path"], []).append((r["lo"], r["hi"]))
+    for p in range(30):
+        shown, stop = [], False
+        for _, _, lo, hi, n in sorted(x for x in rows if x[0] == p):
+            own = range(max(1, lo - 3), min(n, hi + 3) + 1)
+            new = [x for x in own if x not in shown]
+            room = 40 - len(shown)
+            if not stop and len(new) > room:
+                shown, stop = shown + (list(own[:room]) if room > 5 else []), True
+            elif not stop:
+                shown += new
+        assert sorted(x for a, b in got.get(p, []) for x in range(a, b + 1)) == sorted(set(shown))
+        assert all(a[1] + 1 < b[0] for a, b in zip(sorted(got.get(p, [])), sorted(got.get(p, []))[1:]))
+
+
+def test_rules_of_a_table(spark):
+    text = "try:\n  sleep(1)\nexcept:\n  x\n# ok\nsleep(2)\n" + "sleep(3)\n" * 9
+    docs = spark.createDataFrame([(1, text, "py"), (2, "sleep(1)", "go"), (3, None, "py"), (4, "", "py")], "doc_id long, text string, lang string")
+    ddl = "id string, ord int, lang string, kind string, pattern string, require string, absent_within string, window int, absent_before string, absent_before_window int, anchor string, absent string"
+    table = spark.createDataFrame([
+        ("wait", 2, "py", None, "sleep", None, None, None, "# ok", 1, None, None), ("lone", 1, None, None, "sleep", None, "except", 2, None, None, None, None),
+        ("no_try", 3, None, "absent", None, None, None, None, None, None, "sleep", "try"), ("gated", 4, None, None, "x", "nowhere", None, None, None, None, None, None),
+    ], ddl)
+    got = [(r["doc_id"], r["line_no"], r["rule"]) for r in rules.run_rules(docs, rules.rules_from(table), lang="lang").collect()]
+    assert sorted(got) == [(1, 2, "wait"), (1, 6, "lone"), (1, 7, "lone"), (1, 8, "lone"), (1, 9, "lone"), (1, 10, "lone"), (2, 1, "lone")]
