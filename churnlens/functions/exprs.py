@@ -130,3 +130,64 @@ def values_match(a: Column, b: Column) -> Column:
     number = (a["infinite"] == b["infinite"]) & (a["infinite"] | (a["num"] == b["num"])) & F.coalesce(a["unit"] == b["unit"], F.lit(True))
     same = F.when(a["type"] == "none", F.lit(True)).when(a["type"] == "number", number).otherwise(a["txt"] == b["txt"])
     return (a["type"] == b["type"]) & F.coalesce(same, F.lit(False))
+
+
+# Kinds of conventional prefixes, then the words of each intent in the order they are tried.
+PREFIX_KINDS = {
+    "fix": "fix", "hotfix": "fix", "bugfix": "fix", "revert": "fix",
+    "refactor": "refactor", "style": "refactor", "chore": "refactor", "build": "refactor", "ci": "refactor", "deps": "refactor",
+    "feat": "feature", "feature": "feature", "perf": "feature", "docs": "feature", "doc": "feature", "test": "feature", "tests": "feature",
+}
+INTENT_WORDS = {
+    "fix": r"fix(e[ds]|ing)?|bug(s|fix)?|hotfix|revert(ed|s)?|regress\w*|crash(e[ds])?|outage|incident|deadlock\w*|hang(ing|s)?|stall\w*|leak(s|ed|ing)?|oom|broken|repair\w*",
+    "resilience": r"retry|retries|retrying|backoff|jitter|timeouts?|429|rate.?limit\w*|throttl\w*|circuit.?breaker\w*|idempoten\w*|dedupe?\w*",
+    "refactor": r"refactor\w*|cleanup|clean.?up|rename[ds]?|tidy|reformat|lint|style|move[ds]?|extract\w*|simplif\w*",
+}
+
+
+def commit_kind(subject: Column, fix_words: list[str] | None = None) -> Column:
+    """fix, resilience, refactor or feature by a subject's intent: a known prefix wins, then a revert or a fix word of any language given, then the other words."""
+    subject = F.coalesce(subject, F.lit(""))
+    prefix = F.lower(F.regexp_extract(subject, r"^\s*([A-Za-z]+)(?:\([^)]*\))?!?:", 1))
+    out = F.lit("feature")
+    for kind, words in reversed(INTENT_WORDS.items()):
+        hit = subject.rlike(f"(?i)\\b({words})\\b")
+        if kind == "fix":
+            hit = hit | subject.rlike(r'^\s*Revert\s+"')
+            own = [re.escape(w.strip()) for w in fix_words or [] if w.strip()]
+            hit = hit | subject.rlike(r"(?iU)(?<!\w)(?:" + "|".join(own) + r")(?!\w)") if own else hit
+        out = F.when(hit, kind).otherwise(out)
+    known = F.create_map(*(F.lit(x) for pair in PREFIX_KINDS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, prefix), out)
+
+
+def remote(url: Column) -> Column:
+    """host and web base of a repository's remote as a struct, null where it has none: no credentials, no .git, an ssh port dropped."""
+    text = F.trim(F.coalesce(url, F.lit("")))
+    form = r"(?i)^(https?|ssh|git|git\+ssh|ssh\+git)://(?:[^/@]*@)?([^/:?#@]+)(?::([0-9]+))?(?:/([^?#]*))?(?:[?#].*)?$"
+    short = r"^(?:[^@/\s]+@)?([A-Za-z0-9.-]{2,}):([^/\\].*)$"
+    has = text.contains("://")
+    scheme, port = F.lower(F.regexp_extract(text, form, 1)), F.regexp_extract(text, form, 3)
+    host = F.lower(F.when(has, F.regexp_extract(text, form, 2)).otherwise(F.regexp_extract(text, short, 1)))
+    net = F.when(has & (port != "") & scheme.isin("http", "https"), F.concat(host, F.lit(":"), port)).otherwise(host)
+    path = F.btrim(F.when(has, F.regexp_extract(text, form, 4)).otherwise(F.regexp_extract(text, short, 2)), F.lit("/"))
+    path = F.when(path.endswith(".git"), F.rtrim(F.regexp_replace(path, r"\.git$", ""), F.lit("/"))).otherwise(path)
+    good = (host != "") & path.rlike("^[A-Za-z0-9._~%/+-]+$") & net.rlike("^[A-Za-z0-9.-]+(:[0-9]+)?$")
+    base = F.concat(F.when(scheme == "http", "http").otherwise("https"), F.lit("://"), net, F.lit("/"), path)
+    return F.when(good, F.struct(host.alias("host"), base.alias("base")))
+
+
+def encoded_path(path: Column) -> Column:
+    """A path with each segment percent-encoded; letters, digits and _.-~ stay."""
+    def one(segment: Column) -> Column:
+        for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+            segment = F.replace(segment, F.lit(a), F.lit(b))
+        return segment
+
+    return F.array_join(F.transform(F.split(path, "/"), lambda s: one(F.url_encode(s))), "/")
+
+
+def filled_template(template: str, values: dict[str, Column]) -> Column:
+    """A template with {name} put in from values, in one pass: what is put in is never read again, and unknown names stay."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.lit(x) if i % 2 == 0 else values.get(x, F.lit(f"{{{x}}}")) for i, x in enumerate(parts)))

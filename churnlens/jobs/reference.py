@@ -22,6 +22,9 @@ rows_ AS (SELECT * FROM touches JOIN commits USING (sha))"""
 LINES = """lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
 RESPONSES = """responses AS (SELECT CASE WHEN event_id % 5 <> 0 THEN CAST(floor(event_id / 3) AS BIGINT) END AS message, event_type AS model, event_id AS pos, ts AS ts, user_id, CAST(floor(value) AS BIGINT) AS tokens FROM events)"""
 KINDS = [("fix", "^1-"), ("resilience", "^2-"), ("refactor", "^3-")]
+#: Subjects of the commits in turn; numbers follow them.
+SUBJECTS = ["Add retry with backoff", "feat(api): honour it on 429", "chore: fix it", "fix(sync)!: storm", 'Revert "add cache', "Release", "Fehler behoben", "Fix timeout on", "tidy imports of", "Simplify the leak", "Note: crashes in", "timeouts of", ""]
+SUBJECT_SQL = "list_extract([" + ", ".join("'" + s + "'" for s in SUBJECTS) + "], CAST(o_orderkey % 13 + 1 AS INTEGER)) || ' ' || o_custkey"
 #: Line rules of the queries: number, name, pattern.
 RULES = [(1, "ends_short", r"^.{1,20}\.$"), (2, "has_number", "[0-9]{4,}"), (3, "shouts", "!!"), (4, "bars", r"\|"), (5, "comma", ",")]
 RULE_SQL = "(VALUES (1, 'ends_short', '^.{1,20}\\.$'), (2, 'has_number', '[0-9]{4,}'), (3, 'shouts', '!!'), (4, 'bars', '\\|'), (5, 'comma', ','))"
@@ -83,9 +86,13 @@ def q_history_counters(spark, d):
     return history.counters(commits(spark, d), F.col("author") % 50 == 0)
 
 
-@query("SELECT CASE WHEN o_orderpriority LIKE '1-%' THEN 'fix' WHEN o_orderpriority LIKE '2-%' THEN 'resilience' WHEN o_orderpriority LIKE '3-%' THEN 'refactor' ELSE 'feature' END AS kind, count(*) AS n FROM orders GROUP BY 1")
+@query(f"""WITH s AS (SELECT o_orderkey, {SUBJECT_SQL} AS subject FROM orders)
+SELECT o_orderkey, subject, CASE WHEN regexp_extract(subject, '^\\s*([A-Za-z]+)(?:\\([^)]*\\))?!?:', 1) <> '' AND lower(regexp_extract(subject, '^\\s*([A-Za-z]+)(?:\\([^)]*\\))?!?:', 1)) IN ('fix', 'chore', 'feat', 'ci') THEN CASE lower(regexp_extract(subject, '^\\s*([A-Za-z]+)', 1)) WHEN 'fix' THEN 'fix' WHEN 'feat' THEN 'feature' ELSE 'refactor' END
+WHEN regexp_matches(subject, '^\\s*Revert\\s+"') OR regexp_matches(subject, '(?i)\\b(fix(e[ds]|ing)?|crash(e[ds])?|leak(s|ed|ing)?)\\b') OR contains(lower(subject), 'behoben') THEN 'fix' WHEN regexp_matches(subject, '(?i)\\b(retry|backoff|timeouts?|429)\\b') THEN 'resilience' WHEN regexp_matches(subject, '(?i)\\b(rename[ds]?|tidy|simplif\\w*)\\b') THEN 'refactor' ELSE 'feature' END AS kind FROM s""")
 def q_commit_kind(spark, d):
-    return commits(spark, d).groupBy(exprs.ordered(KINDS, F.col("subject"), "feature").alias("kind")).agg(F.count("*").alias("n"))
+    subject = F.element_at(F.array(*map(F.lit, SUBJECTS)), (F.col("o_orderkey") % len(SUBJECTS) + 1).cast("int"))
+    own = table(spark, d, "orders").select("o_orderkey", F.concat(subject, F.lit(" "), F.col("o_custkey").cast("string")).alias("subject"))
+    return own.withColumn("kind", exprs.commit_kind(F.col("subject"), ["behoben"]))
 
 
 CHURN = """churn AS (SELECT path, count(*) AS commits, CAST(sum(adds) AS BIGINT) AS insertions, CAST(sum(dels) AS BIGINT) AS deletions, count(DISTINCT author) AS authors,
@@ -353,9 +360,13 @@ def q_language_counts(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS host FROM pages")
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'git@' || regexp_extract(url, '://([^/]+)', 1) || ':team/' || page_id || '.git' WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'ssh://git@' || regexp_extract(url, '://([^/]+)', 1) || ':2222/a/' || page_id WHEN 3 THEN 'https://H.example:8443/x/y.git/' WHEN 4 THEN 'ftp://h/x' ELSE '/local/' || page_id END AS url, regexp_extract(url, '://([^/]+)', 1) AS h, regexp_extract(url, '://[^/]+/([^?#]*)', 1) AS p, url LIKE 'http://%' AS plain FROM pages)
+SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN h WHEN 1 THEN h WHEN 2 THEN h WHEN 3 THEN 'h.example' END AS host, CASE page_id % 6 WHEN 0 THEN 'https://' || h || '/team/' || page_id WHEN 1 THEN CASE WHEN plain THEN 'http://' ELSE 'https://' END || h || '/' || p WHEN 2 THEN 'https://' || h || '/a/' || page_id WHEN 3 THEN 'https://h.example:8443/x/y' END AS base FROM u""")
 def q_parse_remote(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"))
+    k, own, host = F.col("page_id") % 6, F.col("page_id").cast("string"), F.regexp_extract("url", "://([^/]+)", 1)
+    url = F.when(k == 0, F.concat(F.lit("git@"), host, F.lit(":team/"), own, F.lit(".git"))).when(k == 1, F.replace("url", F.lit("://"), F.lit("://user:pw@"))).when(k == 2, F.concat(F.lit("ssh://git@"), host, F.lit(":2222/a/"), own)).when(k == 3, "https://H.example:8443/x/y.git/").when(k == 4, "ftp://h/x").otherwise(F.concat(F.lit("/local/"), own))
+    pages = table(spark, d, "pages").select("page_id", url.alias("url"))
+    return pages.withColumn("r", exprs.remote(F.col("url"))).select("page_id", "url", "r.host", "r.base")
 
 
 @query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', chr(92) || 'u0026'), '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e'), chr(8232), chr(92) || 'u2028'), chr(8233), chr(92) || 'u2029')) AS digest FROM pages")

@@ -221,10 +221,12 @@ def q_quote_contains(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")).contains("of the ").alias("quoted"))
 
 
-@query("SELECT page_id, replace(replace('{host}/blob/{id}#L1', '{host}', regexp_extract(url, '^[a-z]+://([^/:]+)', 1)), '{id}', CAST(page_id AS VARCHAR)) AS link FROM pages")
+@query("""SELECT page_id, 'https://' || regexp_extract(url, '://([^/:]+)', 1) || '/blob/{sha}/a%20b%2Bc/%C3%A9~' || page_id || '.py#L' || page_id || '-L' || (page_id + 3) AS link FROM pages""")
 def q_fill_template(spark, d):
-    host = F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1)
-    return table(spark, d, "pages").select("page_id", F.concat(host, F.lit("/blob/"), F.col("page_id").cast("string"), F.lit("#L1")).alias("link"))
+    host = F.concat(F.lit("https://"), F.regexp_extract("url", "://([^/:]+)", 1))
+    path = F.concat(F.lit("a b+c/é~"), F.col("page_id").cast("string"), F.lit(".py"))
+    values = {"base": host, "path": exprs.encoded_path(path), "start": F.col("page_id").cast("string"), "end": (F.col("page_id") + 3).cast("string"), "head": F.lit("{base}{sha}")}
+    return table(spark, d, "pages").select("page_id", exprs.filled_template("{base}/blob/{sha}/{path}#L{start}-L{end}", values).alias("link"))
 
 
 @query("SELECT page_id, greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(replace(html, '=', '`'), '`+'), lambda x: length(x))), 0)) AS fence FROM pages")

@@ -165,3 +165,26 @@ def test_rules_of_a_table(spark):
     ], ddl)
     got = [(r["doc_id"], r["line_no"], r["rule"]) for r in rules.run_rules(docs, rules.rules_from(table), lang="lang").collect()]
     assert sorted(got) == [(1, 2, "wait"), (1, 6, "lone"), (1, 7, "lone"), (1, 8, "lone"), (1, 9, "lone"), (1, 10, "lone"), (2, 1, "lone")]
+
+
+SUBJECTS = [
+    ("Add retry with exponential backoff and jitter", "resilience"), ("feat: honour Retry-After on 429", "feature"), ("Introduce rate limiting for partner API", "resilience"), ("chore: patch version bump", "refactor"), ("fix typo in README", "fix"),
+    ("Handle 429 from upstream", "resilience"), ('Revert "add cache"', "fix"), ("Release 1.2.3", "feature"), ("Fehler behoben", "fix"), ("unbehoben lassen", "feature"), ("FEHLER BEHOBEN", "fix"), ("refactor: tidy imports", "refactor"), ("feat(api): retry with backoff", "feature"),
+    ("fix(sync)!: retry storm on 429", "fix"), ("ci: fix flaky job", "refactor"), ("perf: stop leaking sockets", "feature"), ("Fix timeout on large releases", "fix"), ("Timeout crash in the importer", "fix"), (None, "feature"), ("note: moved things", "refactor"),
+]
+
+
+def test_kinds_of_commits(spark):
+    got = one(spark, "t string, w string", SUBJECTS, exprs.commit_kind(F.col("t"), ["behoben", " "]))
+    assert [(s, g[0]) for g, (s, _) in zip(got, SUBJECTS, strict=True)] == SUBJECTS
+
+
+def test_remotes_paths_and_templates(spark):
+    cases = [
+        ("git@github.com:a/b.git", ("github.com", "https://github.com/a/b")), ("https://u:p@H.com:8443/a/b.git/", ("h.com", "https://h.com:8443/a/b")), ("ssh://git@h.com:22/a/b", ("h.com", "https://h.com/a/b")), ("http://h.com/a", ("h.com", "http://h.com/a")),
+        ("ftp://h.com/a", None), ("https://h.com", None), ("/tmp/x", None), ("", None), (None, None), ("https://h.com/a(b", None), ("C:\\x", None),
+    ]
+    got = one(spark, "u string", [(u,) for u, _ in cases], exprs.remote(F.col("u")))
+    assert [tuple(g[0]) if g[0] else None for g in got] == [w for _, w in cases]
+    assert one(spark, "p string", [("a b/c+d~*é",), ("x",)], exprs.encoded_path(F.col("p"))) == [("a%20b/c%2Bd~%2A%C3%A9",), ("x",)]
+    assert one(spark, "p string", [("{b}",)], exprs.filled_template("{a}/{b}/{c}", {"a": F.col("p"), "b": F.lit("B")})) == [("{b}/B/{c}",)]
