@@ -180,3 +180,52 @@ def satisfies(version: Column, wanted: Column) -> Column:
     told = F.filter(F.transform(tokens, lambda alt: F.when(F.exists(alt, lambda t: t["odd"]), "odd").when(F.forall(alt, lambda t: t["fits"]), "yes").otherwise("no")), lambda x: x != "no")
     known = own["a"].isNotNull() & wanted.isNotNull() & ~wanted.rlike(" - |:|/")
     return F.when(known, F.when(F.size(told) == 0, False).when(F.get(told, F.lit(0)) == "yes", True))
+
+
+# How lines import from and export to other files, and how each language reads a setting with a fallback of its own.
+IMPORTS = [r"""^\s*import\s+.*?\s+from\s+['"]([^'"]+)['"]""", r"""^\s*(?:const|let|var)\s+.*?=\s*require\s*\(\s*['"]([^'"]+)['"]""", r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"]
+EXPORTS = [r"^\s*export\s+(?:async\s+)?(?:function|const|class|let|var)\s+(\w+)", r"^\s*export\s*\{\s*([^}]+)\}", r"^\s*(?:async\s+)?def\s+(\w+)", r"^\s*class\s+(\w+)"]
+SETTING_READS = {
+    "python": [r"""\.(?:get|pop)\(\s*['"]{setting}['"]\s*,""", r"""\bgetattr\(\s*[^,()]+,\s*['"]{setting}['"]\s*,""", r"""\bgetenv\(\s*['"]{setting}['"]\s*,"""],
+    "typescript": [r"""\.?\bget\w*\s*(?:<[^>()]*>)?\(\s*['"`]{setting}['"`]\s*,""", r"""process\.env(?:\.{setting}\b|\[\s*['"`]{setting}['"`]\s*\])\s*(?:\?\?|\|\|)"""],
+    "java": [r"""\.get\w*\(\s*"{setting}"\s*,""", r"\$\{{setting}:"],
+    "yaml": [r"\$\{{setting}:"],
+    "properties": [r"\$\{{setting}:"],
+}
+
+
+def captured(text: Column, patterns: list[str]) -> Column:
+    """What lines capture, once each in order: a line's first pattern that matches tells, by its first group that is not empty (operator 56)."""
+
+    def line(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for p in reversed(patterns):
+            groups = [F.nullif(F.regexp_extract(x, p, i + 1), F.lit("")) for i in range(re.compile(p).groups)]
+            out = F.when(x.rlike(p), F.coalesce(*groups)).otherwise(out)
+        return out
+
+    return F.array_distinct(F.filter(F.transform(F.split(text, "\n", -1), line), lambda t: t.isNotNull()))
+
+
+def reads_with_fallback(blanked: Column, setting: Column, lang: str | None, reads: dict[str, list[str]] = SETTING_READS) -> Column:
+    """Whether text without comments reads a setting and gives a fallback there; null where the language has no such forms, false for what is no name (operator 55)."""
+    forms = reads.get(lang or "")
+    if not forms:
+        return F.lit(None).cast("boolean")
+    name = F.trim(F.coalesce(setting, F.lit("")))
+    out = F.lit(False)
+    for form in forms:
+        before, *after = form.split("{setting}")
+        pattern = F.concat(F.lit(f"(?im){before}"), *(F.concat(F.lit("\\Q"), name, F.lit(f"\\E{part}")) for part in after))
+        out = out | F.regexp_like(blanked, pattern)
+    return F.when(name.rlike(r"^[\w.\-:/\[\]@]+$"), F.coalesce(out, F.lit(False))).otherwise(False)
+
+
+def record_hash(values: dict[str, Column], kept: dict[str, list[str]] | None = None) -> Column:
+    """SHA-256 of a record as JSON with sorted keys and no blanks (operator 114). kept names the fields that count of the structs in an array column."""
+    fields = []
+    for name in sorted(values):
+        inner = sorted((kept or {}).get(name, []))
+        value = F.transform(values[name], lambda s: F.struct(*(s[f].alias(f) for f in inner))) if inner else values[name]
+        fields.append(value.alias(name))
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)

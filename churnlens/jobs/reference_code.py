@@ -207,3 +207,30 @@ SELECT doc_id, n AS line_no, rule, substr(trim(line), 1, 200) AS snippet FROM k
 @query(RULE_TABLE_SQL)
 def q_rule_table(spark, d):
     return rules.run_rules(table(spark, d, "documents"), TABLE, lang="lang")
+
+
+IMPORT_LIKE = [(". ", "\n"), (", ", " from '"), ("The ", "import "), ("Of ", "from "), (" of ", " import "), ("!!", "'"), ("Und ", "const x = require('"), ("En ", "  import ")]
+_FIRST = "CASE " + " ".join(f"WHEN regexp_matches(x, {_sql_text(p)}) THEN coalesce(nullif(regexp_extract(x, {_sql_text(p)}, 1), ''), {'nullif(regexp_extract(x, ' + _sql_text(p) + ', 2), ' + chr(39) * 2 + ')' if p.endswith('))') else 'NULL'})" for p in code.IMPORTS) + " END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM (SELECT doc_id, {made_sql(IMPORT_LIKE)} AS t FROM documents)),
+m AS (SELECT doc_id, i, {_FIRST} AS target FROM l), f AS (SELECT doc_id, target, min(i) AS i FROM m WHERE target IS NOT NULL GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(string_agg(target, '|' ORDER BY i), '') AS imports FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""")
+def q_imports(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(code.captured(made(F.col("text"), IMPORT_LIKE), code.IMPORTS), "|").alias("imports"))
+
+
+@query("""WITH t AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN 'x.get("' || upper(source) || '", 5)' WHEN 1 THEN 'os.getenv(' || chr(39) || source || chr(39) || ')' WHEN 2 THEN 'getattr(conf, ' || chr(39) || source || chr(39) || ' , None)' ELSE 'a.pop("x' || source || '", 1)' END || chr(10) || left(text, 200) AS body FROM documents)
+SELECT doc_id, doc_id % 4 IN (0, 2) AND doc_id % 5 <> 0 AS reads FROM t""")
+def q_fallback_read(spark, d):
+    k, s = F.col("doc_id") % 4, F.col("source")
+    call = F.when(k == 0, F.concat(F.lit('x.get("'), F.upper(s), F.lit('", 5)'))).when(k == 1, F.concat(F.lit("os.getenv('"), s, F.lit("')"))).when(k == 2, F.concat(F.lit("getattr(conf, '"), s, F.lit("' , None)"))).otherwise(F.concat(F.lit('a.pop("x'), s, F.lit('", 1)')))
+    body = F.concat(call, F.lit("\n"), F.left("text", F.lit(200)))
+    setting = F.when(F.col("doc_id") % 5 == 0, F.concat(s, F.lit("(?)"))).otherwise(s)
+    return table(spark, d, "documents").select("doc_id", code.reads_with_fallback(body, setting, "python").alias("reads"))
+
+
+@query("""SELECT doc_id, sha256('{"claim":"' || lang || '","key":' || doc_id || ',"preconditions":[{"needs":"changed","setting":"' || source || '"}]}') AS claim_hash FROM documents""")
+def q_claim_hash(spark, d):
+    settings = F.array(F.struct(F.col("source").alias("setting"), F.lit("changed").alias("needs"), F.lit("x").alias("confirmation")))
+    return table(spark, d, "documents").select("doc_id", code.record_hash({"preconditions": settings, "key": F.col("doc_id"), "claim": F.col("lang")}, {"preconditions": ["needs", "setting"]}).alias("claim_hash"))

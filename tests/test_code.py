@@ -82,3 +82,14 @@ def test_raw_log(spark, tmp_path):
 def test_python_keeps_its_shape(text):
     out = code.python_blanked(text)
     assert len(out) == len(text) and re.sub(r"[^\n]", "", out) == re.sub(r"[^\n]", "", text)
+
+
+def test_imports_exports_and_reads(spark):
+    text = "import a, { b } from './x'\nconst y = require(\"../y\")\nfrom pkg.mod import z\nimport os\nimport os\nnot import me\n  import w from 'q'\n"
+    assert one(spark, [text, "", None], code.captured(F.col("t"), code.IMPORTS)) == [["./x", "../y", "pkg.mod", "os", "q"], [], None]
+    assert one(spark, ["export const a = 1\nexport { b, c }\nasync def f():\nclass G:\nexport async function h() {}"], code.captured(F.col("t"), code.EXPORTS)) == [["a", "b, c ", "f", "G", "h"]]
+    reads = lambda lang, s: code.reads_with_fallback(F.col("t"), F.lit(s), lang)
+    assert one(spark, ["c.get('a.b', 1)", "c.get('axb', 1)", "c.get('a.b')", "C.POP(\"A.B\" , 2)", None], reads("python", "a.b")) == [True, False, False, True, False]
+    assert one(spark, ["process.env.RETRY ?? 3", "process.env['RETRY'] || 3", "process.env.RETRY"], reads("typescript", "RETRY")) == [True, True, False]
+    assert one(spark, ["${x.y:5}", "${x.y}"], reads("yaml", "x.y")) == [True, False]
+    assert one(spark, ["x"], reads("go", "x")) == [None] and one(spark, ["x.get('', 1)"], reads("python", " ")) == [False]
