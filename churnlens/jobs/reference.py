@@ -360,7 +360,7 @@ def q_language_counts(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
 
 
-@query(r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'git@' || regexp_extract(url, '://([^/]+)', 1) || ':team/' || page_id || '.git' WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'ssh://git@' || regexp_extract(url, '://([^/]+)', 1) || ':2222/a/' || page_id WHEN 3 THEN 'https://H.example:8443/x/y.git/' WHEN 4 THEN 'ftp://h/x' ELSE '/local/' || page_id END AS url, regexp_extract(url, '://([^/]+)', 1) AS h, regexp_extract(url, '://[^/]+/([^?#]*)', 1) AS p, url LIKE 'http://%' AS plain FROM pages)
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'git@' || regexp_extract(url, '://([^/]+)', 1) || ':team/' || page_id || '.git' WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'ssh://git@' || regexp_extract(url, '://([^/]+)', 1) || ':2222/a/' || page_id WHEN 3 THEN 'https://H.example:8443/x/y.git/' WHEN 4 THEN 'ftp://h/x' ELSE '/local/' || page_id END AS url, regexp_extract(url, '://([^/]+)', 1) AS h, trim(regexp_extract(url, '://[^/]+/([^?#]*)', 1), '/') AS p, url LIKE 'http://%' AS plain FROM pages)
 SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN h WHEN 1 THEN h WHEN 2 THEN h WHEN 3 THEN 'h.example' END AS host, CASE page_id % 6 WHEN 0 THEN 'https://' || h || '/team/' || page_id WHEN 1 THEN CASE WHEN plain THEN 'http://' ELSE 'https://' END || h || '/' || p WHEN 2 THEN 'https://' || h || '/a/' || page_id WHEN 3 THEN 'https://h.example:8443/x/y' END AS base FROM u""")
 def q_parse_remote(spark, d):
     k, own, host = F.col("page_id") % 6, F.col("page_id").cast("string"), F.regexp_extract("url", "://([^/]+)", 1)
