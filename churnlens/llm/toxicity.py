@@ -132,7 +132,7 @@ def _distinct(docs: DataFrame, chosen: DataFrame) -> dict[int, int]:
     known: dict[int, int] = {}
     seen: set[tuple[int, int]] = set()
     drawn = _texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y int, least array<long>")
-    for r in drawn.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+    for r in drawn.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # limit rows
         own = set(enumerate(r["least"]))
         if len(own & seen) < 2:  # two, as one may lie in a passage that many texts quote
             known[r["doc_id"]] = r["y"]
@@ -283,8 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     chosen, stands_for = _labelled(docs, labels, label, folds, fold, limit)
     known = _distinct(docs, chosen)  # limit rows at most
     sums = np.zeros((3, BUCKETS))
-    for r in counts(docs, known).toLocalIterator():  # BUCKETS rows
-        sums[:, r[0]] = r[1:]
+    told = counts(docs, known).toArrow()  # BUCKETS rows of four numbers
+    sums[:, told.column("bucket").to_numpy()] = [told.column(c).to_numpy() for c in ("everywhere", "toxic", "other")]
     held = Counts(*sums)
     drawn = F.broadcast(docs.sparkSession.createDataFrame(list(known.items()), "doc_id long, y int"))
     best = [(r[0], [tuple(s) for s in r[2]], r[1]) for r in _without_own(docs, drawn, held).collect()]  # limit rows
