@@ -6,20 +6,16 @@ the base rules or has lost more than half of its characters to failing lines.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import BLANK, BLANKS, text_of, word_count
+from churnlens.llm.common import BLANK, text_of, without_blanks, word_count
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEAT_PERCENT = 8, 20, 30
 CAPITALS, SMALLS = "[A-ZÀ-ÖØ-Þ]++", "[a-zß-öø-ÿ]++"
-#: Stock phrases in lower case, and what must follow the one that is also a plain word.
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "enable javascript", "click here", "sign up for", "subscribe to our", "skip to content", "licensed under", "powered by")
-COPYRIGHT = "copyright [(©0-9]"
+#: Stock phrases in any case, grouped by how they begin, so that few alternatives are tried at each place.
+BOILERPLATE = r"(?iu:all rights reserved|terms of (?:use|service)|p(?:rivacy policy|owered by)|c(?:ookie policy|lick here|opyright [(©0-9])|we use cookies|enable javascript|s(?:ign up for|ubscribe to our|kip to content)|licensed under)"
 SENTENCE_END = "[.!?:;…\"”»)][ \\t\\r\\x0B\\f]*$"
 
 
@@ -27,8 +23,8 @@ DIGEST = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def _without(s: Column, marks: str) -> Column:
-    """Number of characters of s that are among marks."""
-    return F.length(s) - F.length(F.translate(s, marks, ""))
+    """Number of characters of s that are among marks, all of one byte."""
+    return sum(((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(m), F.lit("")))) for m in marks[1:]), F.octet_length(s) - F.octet_length(F.replace(s, F.lit(marks[0]), F.lit(""))))
 
 
 def line_fails(line: Column) -> Column:
@@ -40,7 +36,7 @@ def line_fails(line: Column) -> Column:
     """
     # measured once in a struct of one line, as nothing shares what a lambda computes twice
     measured = F.transform(F.array(line), lambda x: F.struct(
-        x.alias("line"), F.lower(x).alias("low"), word_count(x).alias("words"), _without(x, "|").alias("bars"),
+        x.alias("line"), word_count(x).alias("words"), _without(x, "|").alias("bars"),
         (F.length(x) - F.length(F.replace(x, F.lit("!!"), F.lit("")))).alias("shouts"),
     ))
 
@@ -52,10 +48,9 @@ def line_fails(line: Column) -> Column:
             ((m["bars"] >= 2) & (m["bars"] * 4 >= words))
             | (m["shouts"] * 3 >= words * 2)
             | ((words <= 2) & ~x.rlike(SENTENCE_END))
-            | (_without(x, SYMBOLS) * 8 > F.length(F.translate(x, BLANKS, "")))
+            | (_without(x, SYMBOLS) * 8 > F.length(without_blanks(x)))
             | ((words >= 3) & (capitals > smalls))
-            | reduce(or_, (m["low"].contains(p) for p in BOILERPLATE))
-            | (m["low"].contains("copyright ") & m["low"].rlike(COPYRIGHT))
+            | x.rlike(BOILERPLATE)
         )
 
     return F.exists(measured, fails)
@@ -71,7 +66,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     """row, a struct of docs' columns, and the columns of DIGEST and clean_text."""
     step = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_of(docs).alias("text"))
     words = F.filter(F.split("text", f"[{BLANK}]+"), lambda w: w != "")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
     step = step.withColumns({
         "hashes": F.transform(words, lambda w: F.xxhash64(w)),
         "lines": F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))),
@@ -87,14 +82,14 @@ def _judged(docs: DataFrame) -> DataFrame:
     kept_lines = F.filter("lines", lambda x: ~x["fails"])
     step = step.withColumns({
         "n_words": count.cast("long"),
-        "word_chars": F.length(F.translate("text", BLANKS, "")).cast("long"),
+        "word_chars": F.length(without_blanks(F.col("text"))).cast("long"),
         "n_symbols": _without(F.col("text"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct(F.transform("lines", lambda x: x["line"])))).cast("long"),
         "n_repeat_words": repeat_words(F.col("places")),
         "clean_text": F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n"),
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
-    left = F.length(F.translate("clean_text", BLANKS, ""))
+    left = F.length(without_blanks(F.col("clean_text")))
     step = step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (2 * left >= F.col("word_chars")))
     return step.select("row", *DIGEST, "clean_text")
 
