@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import langid, media, mixing, packing, pii, quality_model, rules, sharding, simhash, toxicity
+from churnlens.llm import alignment, langid, media, mixing, packing, pii, quality_model, rules, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,5 +57,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mixing, op4_media_columns, op5_language_id, op6_toxicity, op7_pii_spans, op8_sharding, op9_harmonic_packing, op10_quality_rules)}
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mixing, op4_media_columns, op5_language_id, op6_toxicity, op7_pii_spans, op8_sharding, op9_harmonic_packing, op10_quality_rules, op11_token_alignment)}
 ORACLES: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op10_quality_rules": rules.SQL}
