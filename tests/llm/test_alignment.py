@@ -40,10 +40,11 @@ def plain(both, texts):
             owner_a = [i for i, (s, e) in enumerate(zip([0, *end_a], end_a, strict=False)) for _ in range(s, e)]
             owner_b = [i for i, (s, e) in enumerate(zip([0, *end_b], end_b, strict=False)) for _ in range(s, e)]
             own.update((a[i], b[j]) for i, j in set(zip(owner_a, owner_b, strict=True)))
-            last = 0
+            at_a, at_b = ({e: k + 1 for k, e in enumerate(end)} for end in (end_a, end_b))
+            i = j = 0
             for cut in sorted(set(end_a) & set(end_b)):
-                groups.append(",".join(str(i) for i, e in zip(a, end_a, strict=True) if last < e <= cut) + "|" + ",".join(str(i) for i, e in zip(b, end_b, strict=True) if last < e <= cut))
-                last = cut
+                groups.append(",".join(map(str, a[i : at_a[cut]])) + "|" + ",".join(map(str, b[j : at_b[cut]])))
+                i, j = at_a[cut], at_b[cut]
         links.append(own)
         heads.append((len(found[0]), len(found[1]), len(groups), own.total(), hashlib.sha256(";".join(groups).encode()).hexdigest()) if found else (0, 0, 0, 0, ""))
     counts = Counter(pair for own in links for pair in own)
