@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import alignment, langid, media, mixing, neighbours, packing, pii, quality_model, rules, sharding, simhash, toxicity
+from churnlens.llm import alignment, conversations, langid, media, mixing, neighbours, packing, pii, quality_model, rules, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +67,9 @@ def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(_table(spark, folder, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mixing, op4_media_columns, op5_language_id, op6_toxicity, op7_pii_spans, op8_sharding, op9_harmonic_packing, op10_quality_rules, op11_token_alignment, op12_nearest_neighbours)}
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audit_repairs(_table(spark, folder, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mixing, op4_media_columns, op5_language_id, op6_toxicity, op7_pii_spans, op8_sharding, op9_harmonic_packing, op10_quality_rules, op11_token_alignment, op12_nearest_neighbours, op13_conversation_repair)}
 ORACLES: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op10_quality_rules": rules.SQL}
