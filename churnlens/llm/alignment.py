@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.common import sized, staged
 
-#: Chunks, and characters of chunks, that a worker's table holds before it starts anew.
-TABLE_CHUNKS, TABLE_CHARS = 300_000, 8_000_000
+#: Chunks, and characters of chunks, that a worker's table holds before it becomes the old one, from which chunks come back as they are met.
+TABLE_CHUNKS, TABLE_CHARS = 250_000, 8_000_000
 #: Characters of texts that are aligned together.
 BATCH_CHARS = 1_000_000
 #: Pairs of ids up to which their counts are broadcast (three numbers each); more are joined by a shuffle.
@@ -41,6 +41,10 @@ _ODD = re.compile("[^\\S \n]|᠎")
 _ODD_CHUNK = re.compile("[ \n]+(?:[^ \n]*(?:[^\\S \n]|᠎)[ \n]+)*[^ \n]*")
 
 
+# a word and marks: A cuts it after the word, whatever version of Unicode its pattern goes by
+_PLAIN = re.compile("( [A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+
+
 def chunks(spaced: str) -> list[str]:
     """The parts of a blank and a text that can be encoded alone; joined they are the whole."""
     return (_ODD_CHUNK if _ODD.search(spaced) else _CHUNK).findall(spaced)
@@ -88,22 +92,38 @@ class Aligner:
         #: whether chunks may be encoded alone: no token of either side runs into a blank or a line's end
         self.parted = not any(re.search("[^\\s][ \n]", x.decode(errors="replace")) for x in (*self.a_bytes, *self.b_bytes))
         self.lead = self.b.encode("a")
+        self.letters = {x: c for c, x in byte_of.items()}
+        self.marks: dict[str, list[int]] = {"": []}
         self.table: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
         self.chars = 0
 
     def part(self, spaced: str) -> list[str]:
         return chunks(spaced) if self.parted and len(self.lead) == 1 else [spaced]
 
+    def _merged(self, s: str) -> list[int]:
+        """A's ids of what its pattern keeps together."""
+        return [t.id for t in self.a.model.tokenize("".join([self.letters[x] for x in s.encode()]))]
+
     def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Both sides' ids of texts that begin with a blank or a line's end."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        a: list = [_PLAIN.fullmatch(p) for p in parts]
+        rest = [i for i, m in enumerate(a) if m is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            a[i] = e.ids
+        for i, m in enumerate(a):
+            if not isinstance(m, list):
+                word, marks = m.groups()
+                if marks not in self.marks:
+                    self.marks[marks] = self._merged(marks)
+                a[i] = self._merged(word) + self.marks[marks]
         # B puts a blank before a text: that stands for the text's own; a lone blank or line's end follows a letter, taken off again
         plain = [p[0] == " " != p for p in parts]
         b = self.b.encode([p[1:] if own else f"a{p}" for p, own in zip(parts, plain, strict=True)], num_threads=1)
         return a, [x if own else x[1:] for x, own in zip(b, plain, strict=True)]
 
     def learn(self, parts: list[str]) -> None:
-        """Put parts into the table: (groups as text, pairs of linked ids, tokens of A, of B, groups), or None where bytes differ."""
+        """Put parts into the table: (groups as text, pairs of linked ids, tokens of A, tokens of B), or None where bytes differ."""
         sides, kept = self.ids(parts), []
         for part, a, b in zip(parts, *sides, strict=True):
             own = part.encode()
@@ -130,7 +150,7 @@ class Aligner:
                 to_i, to_j = cut_a[g], cut_b[g]
                 groups.append(f"{','.join([self.a_text[x] for x in a[i - first_i : to_i - first_i]])}|{','.join([self.b_text[x] for x in b[j - first_j : to_j - first_j]])}")
                 g, i, j = g + 1, to_i, to_j
-            self.table[part] = (";".join(groups), pairs[at[first_i] : at[stop]].copy(), len(a), len(b), len(groups))
+            self.table[part] = (";".join(groups), pairs[at[first_i] : at[stop]].tobytes(), len(a), len(b))
 
     def whole(self, spaced: str) -> tuple | None:
         """As the table's entry, of a text that is encoded in one."""
@@ -141,24 +161,24 @@ class Aligner:
     def rows(self, texts: list[str | None]) -> Iterator[tuple]:
         """n_a, n_b, n_groups, n_links, groups_sha256 and the array of pair << 32 | times, for each text."""
         if len(self.table) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
-            self.table.clear()
-            self.chars = 0
+            self.old, self.table, self.chars = self.table, {}, 0
         parts = [self.part(f" {t}") if t else [] for t in texts]
-        new = list({p for own in parts for p in own if p not in self.table})
-        if new:
-            self.chars += sum(map(len, new))
+        new = {p for own in parts for p in own} - self.table.keys()
+        self.chars += sum(map(len, new))
+        self.table |= {p: self.old[p] for p in new & self.old.keys()}
+        if new := list(new - self.table.keys()):
             self.learn(new)
-        for text, own in zip(texts, parts, strict=True):
+        for given, own in zip(texts, parts, strict=True):
             found = [self.table[p] for p in own]
             if None in found:
-                found = [one] if (one := self.whole(f" {text}")) else []
+                found = [one] if (one := self.whole(f" {given}")) else []
             if not found:
                 yield 0, 0, 0, 0, "", np.zeros(0, np.int64)
                 continue
-            groups, pairs, n_a, n_b, n = zip(*found, strict=True)
-            pairs = np.concatenate(pairs)
-            kinds, times = np.unique(pairs, return_counts=True)
-            yield sum(n_a), sum(n_b), sum(n), len(pairs), hashlib.sha256(";".join(groups).encode()).hexdigest(), (kinds.astype(np.int64) << 32) | times
+            groups, pairs, n_a, n_b = zip(*found, strict=True)
+            text, links = ";".join(groups), np.frombuffer(b"".join(pairs), np.int32)
+            kinds, times = np.unique(links, return_counts=True)
+            yield sum(n_a), sum(n_b), text.count(";") + 1, len(links), hashlib.sha256(text.encode()).hexdigest(), (kinds.astype(np.int64) << 32) | times
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
