@@ -196,9 +196,9 @@ TABLE = [
 RULE_TABLE_SQL = """WITH lines AS (SELECT doc_id, lang, text, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line, ls FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)),
 h1 AS (SELECT doc_id, n, 1 AS ord, 'after_heading' AS rule, line FROM lines WHERE regexp_matches(line, '^[A-Z][a-z]+ ') AND regexp_matches(array_to_string(ls[n:n + 2], chr(10)), '[0-9]{3,}')),
 h2 AS (SELECT doc_id, n, 2, 'shout', line FROM lines WHERE contains(line, '!!') AND regexp_matches(text, '[A-Z]{5}')),
-h3 AS (SELECT doc_id, n, 3, 'no_end', line FROM lines WHERE lang = 'en' AND regexp_matches(line, '[a-z]$') AND NOT regexp_matches(array_to_string(ls[greatest(1, n - 1):n + 1], chr(10)), '\\.$')),
+h3 AS (SELECT doc_id, n, 3, 'no_end', line FROM lines WHERE lang = 'en' AND regexp_matches(line, '[a-z]$') AND NOT regexp_matches(array_to_string(ls[greatest(1, n - 1):n + 1], chr(10)), '(?m)\\.$')),
 h4 AS (SELECT doc_id, n, 4, 'first_numeral', line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM lines WHERE regexp_matches(line, '[0-9]') AND NOT contains(text, '@') AND regexp_matches(text, '[0-9]{4}')) WHERE r = 1),
-h5 AS (SELECT doc_id, n, 5, 'bar', line FROM lines WHERE contains(line, '|') AND NOT contains(array_to_string(ls[greatest(1, n - 2):n - 1], chr(10)), '#')),
+h5 AS (SELECT doc_id, n, 5, 'bar', line FROM lines WHERE contains(line, '|') AND NOT contains(array_to_string(ls[greatest(1, n - 2):n], chr(10)), '#')),
 a AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM h5),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule ORDER BY n) AS r FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY ord) AS o FROM c WHERE r <= 5)
 SELECT doc_id, n AS line_no, rule, substr(trim(line), 1, 200) AS snippet FROM k WHERE o = 1"""
