@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from churnlens.functions.exprs import path_problem
+from churnlens.operators.intervals import meet
 
 # Fixed value: the form of a dependency reference, ecosystem:name@version:path:line or line range.
 DEPENDENCY_REF = r"^(pypi|npm|maven):((?:@[^/@:\s]+/)?[^@:\s]+)@([^:@\s]+):([^:]+):([0-9]+)(?:-([0-9]+))?$"
@@ -64,17 +66,65 @@ def dependency_refs(refs: DataFrame, packages: DataFrame, files: DataFrame, ref:
     return both.withColumn("problem", problem).select(*refs.columns, "package", "version", "path", "first", "last", "problem")
 
 
+# Fixed value: how a line of blame output begins, a commit and the line's numbers then and now.
+BLAME_HEAD = r"(?m)^(?=[0-9a-f]{40} [0-9]+ [0-9]+)"
+
+
+def blamed(outputs: DataFrame, text: str = "text") -> DataFrame:
+    """path, line, sha, author, summary, code of each line of blame output in its porcelain form (operator 4).
+
+    outputs has path and text. A commit's author and summary stand at its first line only, and are carried to its others. Each entry is
+    cut from the text where its head begins, so lines are not shuffled but for those of one commit in one path.
+    """
+    entry = F.col("entry")
+    field = lambda name: F.nullif(F.regexp_extract(entry, rf"(?m)^{name} (.*)$", 1), F.lit(""))
+    entries = outputs.select("path", F.explode(F.split(text, BLAME_HEAD, -1)).alias("entry")).where(entry.rlike(r"^[0-9a-f]{40} "))
+    rows = entries.select("path", F.substring_index(entry, " ", 1).alias("sha"), F.regexp_extract(entry, r"^\S+ [0-9]+ ([0-9]+)", 1).cast("long").alias("line"), field("author").alias("author"), field("summary").alias("summary"), F.regexp_extract(entry, r"(?m)^\t(.*)$", 1).alias("code"))
+    told = rows.groupBy("path", "sha").agg(F.max("author").alias("author"), F.max("summary").alias("summary"))
+    return rows.drop("author", "summary").join(told, ["path", "sha"]).select("path", "line", "sha", "author", "summary", "code")
+
+
 def introduced(ranges: DataFrame, blame: DataFrame, keys: list[str]) -> DataFrame:
     """keys and shas, the commits that the lines of each range come from, in order (operator 4).
 
-    ranges has keys, path, lo, hi and blame path, line, sha. Each range is listed line by line, so the join is an equi-join
-    of path and line; lines that are not committed have no sha.
+    ranges has keys, path, lo, hi and blame path, line, sha. Runs of lines of one commit are ranges too, and ranges meet by bins of their
+    lengths, so no range is listed line by line; a range that ends before it begins has no lines, and lines that are not committed have no sha.
     """
-    listed = ranges.select(*keys, "path", F.explode(F.sequence("lo", "hi")).alias("line"))
-    found = listed.join(blame.where(F.col("sha") != ZERO_SHA), ["path", "line"]).select(*keys, "sha").distinct()
+    step = Window.partitionBy("path", "sha").orderBy("line")
+    lines = blame.where(F.col("sha") != ZERO_SHA).select("path", "line", "sha").distinct()
+    runs = lines.withColumn("run", F.col("line") - F.row_number().over(step)).groupBy("path", "sha", "run").agg(F.min("line").alias("_first"), F.max("line").alias("_last")).drop("run")
+    found = meet(ranges.select(*keys, "path", "lo", "hi"), runs, ["path"], right_range=("_first", "_last")).select(*keys, "sha").distinct()
     return found.groupBy(*keys).agg(F.array_sort(F.collect_list("sha")).alias("shas"))
 
 
+# The lines of a diff that name its files and open its parts.
+DIFF_FILE, DIFF_OLD, DIFF_NEW, HUNK = r"^diff --git ", r"^--- (?:a/)?(.*?)\t?$", r"^\+\+\+ (?:b/)?(.*?)\t?$", r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@(.*)$"
+
+
+def hunks(diffs: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
+    """keys, path, hunk, kind, old_line, new_line, line of every line that a unified diff adds, removes or shows about them (operator 5).
+
+    kind is added, removed or context; old_line is null where a line is added and new_line where it is removed. hunk counts from 1 in a diff. A hunk's
+    own counts say how far it reaches, so that lines like `--- x` in it are lines. Lines of one diff meet in one task, as their numbers follow from those before.
+    """
+    lines = diffs.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("at", "x"))
+    head = lambda g: F.when(F.col("x").rlike(HUNK), F.coalesce(F.regexp_extract("x", HUNK, g).try_cast("long"), F.lit(1)))
+    by = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # a header's look-alike inside a hunk is a removed or added line; those of a hunk itself cannot be: each of its lines has a mark before it
+    marked = lines.withColumns({"hunk": F.count(head(1)).over(by), "old_at": F.last(head(1), True).over(by), "old_n": F.last(head(2), True).over(by), "new_at": F.last(head(3), True).over(by), "new_n": F.last(head(4), True).over(by), "opens": head(1).isNotNull()})
+    own = Window.partitionBy(*keys, "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.substring("x", 1, 1)
+    old, new = (~F.col("opens") & mark.isin(" ", "-")).cast("int"), (~F.col("opens") & mark.isin(" ", "+")).cast("int")
+    counted = marked.withColumns({"old_seen": F.sum(old).over(own), "new_seen": F.sum(new).over(own)})
+    inside = ~F.col("opens") & (F.col("hunk") > 0) & mark.isin(" ", "+", "-") & (F.col("old_seen") <= F.col("old_n")) & (F.col("new_seen") <= F.col("new_n")) & ((old == 0) | (F.col("old_seen") - old < F.col("old_n"))) & ((new == 0) | (F.col("new_seen") - new < F.col("new_n")))
+    named = counted.withColumn("inside", inside)
+    name = lambda p: F.nullif(F.when(~F.col("inside"), F.regexp_extract("x", p, 1)), F.lit(""))
+    to, come = F.last(name(DIFF_NEW), True).over(by), F.last(name(DIFF_OLD), True).over(by)
+    told = named.withColumn("path", F.when(to == "/dev/null", come).otherwise(to)).where("inside")
+    kind = F.when(mark == "+", "added").when(mark == "-", "removed").otherwise("context")
+    return told.select(*keys, "path", "hunk", kind.alias("kind"), F.when(mark != "+", F.col("old_at") + F.col("old_seen") - 1).alias("old_line"), F.when(mark != "-", F.col("new_at") + F.col("new_seen") - 1).alias("new_line"), F.substring("x", 2, 1 << 30).alias("line"))
+
+
 CONTEXT_LINES = 3
 
 

@@ -8,31 +8,30 @@ from pyspark.sql.window import Window
 
 from churnlens.functions.exprs import DOUBTFUL
 from churnlens.operators.components import components
-
-BIN = 4
-
+from churnlens.operators.intervals import meet
+from churnlens.sources.staging import staged
 
 def overlaps(ranges: DataFrame, owner: str, path: str, lo: str, hi: str) -> DataFrame:
-    """Pairs of different owners whose closed ranges on one path meet (operator 64), each once.
+    """Pairs of different owners whose closed ranges on one path meet (operator 64), each once, with the number of meetings.
 
-    Ranges are dealt into bins of BIN lines; a pair meets in the bin where the later of the two begins, so the join is an
-    equi-join on path and bin and no pair is made twice.
+    The result has a row for each pair that meets; intervals.meetings counts them for each range without making pairs.
     """
-    own = ranges.select(F.col(owner).alias("o"), F.col(path).alias("p"), F.col(lo).alias("lo"), F.col(hi).alias("hi")).distinct()
-    binned = own.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))))
-    a, b = (binned.select("p", "bin", *(F.col(c).alias(f"{c}_{s}") for c in ("o", "lo", "hi"))) for s in ("a", "b"))
-    met = (F.col("o_a") < F.col("o_b")) & (F.col("lo_a") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi_a")) & (F.col("bin") == F.floor(F.greatest("lo_a", "lo_b") / BIN))
-    return a.join(b, ["p", "bin"]).where(met).groupBy(F.col("p").alias("path"), F.col("o_a").alias("owner_a"), F.col("o_b").alias("owner_b")).agg(F.count("*").alias("meetings"))
+    own = ranges.select(F.col(path).alias("path"), F.col(owner).alias("o"), F.col(lo).alias("lo"), F.col(hi).alias("hi")).distinct()
+    a, b = (own.withColumnsRenamed({c: f"{c}_{s}" for c in ("o", "lo", "hi")}) for s in ("a", "b"))
+    met = meet(a, b, ["path"], ("lo_a", "hi_a"), ("lo_b", "hi_b")).where("o_a < o_b")
+    return met.groupBy("path", F.col("o_a").alias("owner_a"), F.col("o_b").alias("owner_b")).agg(F.count("*").alias("meetings"))
 
 
 def covered(need: DataFrame, have: DataFrame, key: str) -> DataFrame:
     """Per key (operators 65 and 66): does every needed range lie inside some range that is there, and does every one meet some.
 
     One sorted pass over a key's ends: the furthest end of all ranges that begin at or before lo reaches hi if one holds the
-    needed range, and that of those that begin at or before hi reaches lo if one meets it. No pairs are made.
+    needed range, and that of those that begin at or before hi reaches lo if one meets it. No pairs are made, and of the ranges that
+    begin at one place only the longest is kept before they are shuffled, so a key's sort has a row for each place.
     """
     own = need.select(key, "lo", "hi").distinct()
-    begins = have.select(F.col(key), F.col("lo").alias("at"), F.lit(0).alias("kind"), F.col("hi").alias("reach"), *(F.lit(None).cast("long").alias(c) for c in ("lo", "hi")))
+    longest = have.groupBy(key, "lo").agg(F.max("hi").alias("hi"))
+    begins = longest.select(F.col(key), F.col("lo").alias("at"), F.lit(0).alias("kind"), F.col("hi").alias("reach"), *(F.lit(None).cast("long").alias(c) for c in ("lo", "hi")))
     asked = [own.select(F.col(key), F.col(c).alias("at"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("reach"), "lo", "hi") for kind, c in ((1, "lo"), (2, "hi"))]
     furthest = F.max("reach").over(Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     seen = begins.unionByName(asked[0]).unionByName(asked[1]).withColumn("far", furthest).where("kind > 0")
@@ -86,11 +85,16 @@ def run_verdict(status: Column, gate_: Column, claims: Column) -> Column:
 
 
 def duplicate_closure(findings: DataFrame, links: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """key, survivor for each finding that its group's first by order absorbs (operator 71). links(key, duplicate_of) counts where both are findings."""
-    ids = findings.select(key).distinct().withColumn("id", F.xxhash64(key))
-    other = ids.select(F.col(key).alias("duplicate_of"), F.col("id").alias("b"))
-    edges = links.join(ids, key).join(other, "duplicate_of").select(F.col("id").alias("a"), "b")
-    grouped = findings.withColumn("node", F.xxhash64(key)).join(components(edges), "node")
+    """key, survivor for each finding that its group's first by order absorbs (operator 71). links(key, duplicate_of) counts where both are findings.
+
+    Only linked keys get numbers, each its own, so that two groups cannot meet by a hash.
+    """
+    known = findings.select(key).distinct()
+    real = links.join(known, key).join(known.select(F.col(key).alias("duplicate_of")), "duplicate_of").where(F.col(key) != F.col("duplicate_of")).select(key, "duplicate_of")
+    linked = real.select(key).union(real.select("duplicate_of")).distinct()
+    ids = staged(linked.withColumn("id", F.monotonically_increasing_id()))
+    edges = real.join(ids.withColumnRenamed("id", "a"), key).join(ids.select(F.col(key).alias("duplicate_of"), F.col("id").alias("b")), "duplicate_of").select("a", "b")
+    grouped = findings.join(ids.withColumnRenamed("id", "node"), key).join(components(edges), "node")
     first = grouped.groupBy("root").agg(F.min_by(key, F.struct(*order)).alias("survivor"))
     return grouped.join(first, "root").where(F.col(key) != F.col("survivor")).select(key, "survivor")
 
@@ -104,8 +108,9 @@ def vocabulary(rows: DataFrame, column: str, words: list[str]) -> DataFrame:
 def top_and_other(rows: DataFrame, column: str, keep: int = 8) -> DataFrame:
     """The keep most frequent values and the rest as `other` (operator 83)."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), column)))
-    return ranked.groupBy(F.when(F.col("r") <= keep, F.col(column).cast("string")).otherwise("other").alias("bucket")).agg(F.sum("n").alias("n"))
+    top = F.broadcast(counts.orderBy(F.desc("n"), column).limit(keep).select(F.col(column).alias("_top"), F.lit(True).alias("_is")))
+    bucket = F.when(F.col("_is"), F.col(column).cast("string")).otherwise("other")
+    return counts.join(top, F.col(column).eqNullSafe(F.col("_top")), "left").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, parts: int = 256) -> DataFrame:
