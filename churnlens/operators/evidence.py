@@ -161,3 +161,60 @@ def excerpts(spans: DataFrame, budget: int) -> DataFrame:
 
     kind = spans.schema["path"].dataType.simpleString()
     return spans.select("path", "rank", "lo", "hi", "n_lines").groupBy("path").applyInPandas(fill, f"path {kind}, lo long, hi long")
+
+
+# The forms of evidence, what a commit may have done, and the forms of references.
+EVIDENCE_TYPES, ROLES = ["catalog", "code", "commit", "detector"], ["introduced", "fixed", "mitigated", "changed"]
+CODE_REF, HIT_REF, SHA_REF = r"^([^:]+):([0-9]+)(?:-([0-9]+))?\z", r"^[A-Z]+[0-9]+@[^:]+:[0-9]+\z", r"^[0-9a-fA-F]{4,40}\z"
+#: Hexadecimal digits by which short names of commits are joined; no shorter name is a reference.
+SHORT = 4
+
+
+def resolved(cited: DataFrame, located: DataFrame, files: DataFrame, hits: DataFrame, edges: DataFrame, commits: DataFrame, touches: DataFrame, blame: DataFrame) -> DataFrame:
+    """finding, i, problem of each piece of evidence, null where it resolves (operator 134).
+
+    cited(finding, i, type, ref, role), located(finding, path): where the findings are; files(path, n_lines), hits(ref), edges(ref), commits(sha),
+    touches(sha, path), blame(path, line, sha) are what there is. A commit must touch a file that its finding cites or is in; one that is said to have
+    introduced the code must have written one of the cited lines. Short names are joined by their first digits and then compared, all else by equal
+    keys; lines and ranges meet by bins.
+    """
+    at = lambda g: F.nullif(F.regexp_extract("_ref", CODE_REF, g), F.lit(""))
+    own = cited.withColumn("_ref", F.trim("ref")).withColumns({"_path": at(1), "_lo": at(2).try_cast("long")})
+    own = own.withColumns({"_hi": F.coalesce(at(3).try_cast("long"), "_lo"), "_short": F.lower(F.substring_index("_ref", " ", 1))})
+    own = own.join(files.select(F.col("path").alias("_path"), "n_lines"), "_path", "left")
+    for name, known in (("_hit", hits), ("_edge", edges)):
+        own = own.join(known.select(F.col("ref").alias("_known")).distinct().withColumn(name, F.lit(True)), F.col("_ref") == F.col("_known"), "left").drop("_known")
+
+    is_commit = (F.col("type") == "commit") & F.col("_short").rlike(SHA_REF)
+    asked = own.where(is_commit).select("finding", "i", "role", "_short").withColumn("_key", F.left("_short", F.lit(SHORT)))
+    full = asked.join(commits.select("sha", F.left(F.lower("sha"), F.lit(SHORT)).alias("_key")), "_key").where(F.startswith(F.lower("sha"), F.col("_short"))).select("finding", "i", "role", "sha")
+    fits = (F.col("_lo") >= 1) & (F.col("_lo") <= F.col("_hi")) & (F.col("_hi") <= F.col("n_lines"))
+    code = own.where((F.col("type") == "code") & fits).select("finding", F.col("_path").alias("path"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    places = code.select("finding", "path").union(located.join(files, "path", "left_semi").select("finding", "path")).distinct()
+    # a finding's commits meet its files first, then the touches, so no commit's touches are listed for findings that do not cite it
+    touching = full.join(places, "finding").join(touches.select("sha", "path").distinct(), ["sha", "path"]).select("finding", "i").distinct().withColumn("_touches", F.lit(True))
+    wrote = introduced(code.distinct(), blame, ["finding"]).select("finding", F.explode("shas").alias("sha"))
+    written = full.where("role = 'introduced'").join(wrote, ["finding", "sha"]).select("finding", "i").distinct().withColumn("_wrote", F.lit(True))
+    for part in (full.select("finding", "i").distinct().withColumn("_there", F.lit(True)), touching, written, places.select("finding").distinct().withColumn("_placed", F.lit(True))):
+        own = own.join(part, [c for c in ("finding", "i") if c in part.columns], "left")
+
+    kind, not_ = F.col("type"), lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    role = F.coalesce(F.col("role"), F.lit(""))
+    code_problem = F.when(F.col("_path").isNull(), "is not path:line or path:start-end").when(path_problem(F.col("_path")).isNotNull(), path_problem(F.col("_path"))).when(F.col("n_lines").isNull(), "no such file").when(~F.coalesce(fits, F.lit(False)), "lines are outside the file")
+    commit_problem = (
+        F.when(~F.col("_short").rlike(SHA_REF), "is not a commit")
+        .when(not_("_there"), "no such commit")
+        .when(~not_("_placed") & not_("_touches"), "does not touch a cited file")
+        .when(~not_("_placed") & (role == "introduced") & not_("_wrote"), "wrote none of the cited lines")
+    )
+    problem = (
+        F.when(~F.coalesce(kind.isin(*EVIDENCE_TYPES), F.lit(False)), "type is unknown")
+        .when(F.coalesce(F.col("_ref"), F.lit("")) == "", "ref is missing")
+        .when((kind == "commit") & ~role.isin(*ROLES), "role is unknown")
+        .when((kind != "commit") & F.col("role").isNotNull(), "role is for commits only")
+        .when(kind == "code", code_problem)
+        .when(kind == "commit", commit_problem)
+        .when(kind == "detector", F.when(~F.col("_ref").rlike(HIT_REF), "is not a hit's reference").when(not_("_hit"), "no such hit"))
+        .otherwise(F.when(not_("_edge"), "no such edge"))
+    )
+    return own.select("finding", "i", problem.alias("problem"))
