@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from churnlens.functions.exprs import let
+
 #: Pieces of C-like text in the order they are tried: line comment, closed and open block comment, strings by their quote, runs of
 #: other characters. Loops are unrolled so that a long string costs no depth.
 C_TOKENS = r"""//[^\n]*|(?s:/\*.*?\*/)|(?s:/\*.*)|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*["\\]?|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*['\\]?|`[^`\\]*(?:\\[\s\S][^`\\]*)*[`\\]?|[^/"'`]+|/"""
@@ -147,39 +149,50 @@ def package_name(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "[-_.]+", "-"))
 
 
-def _version(text: Column, pattern: str, keep_open: bool = False) -> list[Column]:
-    """Major, minor and patch of a match as longs; a part that is left open or a wildcard is null."""
-    return [F.regexp_extract(text, pattern, i).try_cast("long") for i in (1, 2, 3)]
+def _version(text: Column, pattern: str) -> Column:
+    """Major, minor and patch of a match as a struct a, b, c of longs; a part that is left open or a wildcard is null. The match is made once."""
+    parts = F.split(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"[x*]", ""), r"\.")
+    number = lambda i: F.get(parts, F.lit(i)).try_cast("long")
+    return F.struct(*(number(i).alias(n) for i, n in enumerate("abc")))
 
 
 def satisfies(version: Column, wanted: Column) -> Column:
-    """Whether a version lies in an npm range (operator 130): comparators, ^, ~, wildcards and ||; null where either is not understood."""
-    own = F.struct(*(p.alias(n) for p, n in zip(_version(F.trim(version), r"^v?([0-9]+)\.([0-9]+)\.([0-9]+)"), "abc", strict=True)))
-    part = r"^v?([0-9]+)(?:\.([0-9]+|x|\*))?(?:\.([0-9]+|x|\*))?(?:-[0-9A-Za-z.-]+)?$"
+    """Whether a version lies in an npm range (operator 130): comparators, ^, ~, wildcards and ||; null where either is not understood.
+
+    The version is read once and each token once, into a struct that all comparisons then use.
+    """
+    part = r"^v?([0-9]+(?:\.(?:[0-9]+|x|\*))?(?:\.(?:[0-9]+|x|\*))?)(?:-[0-9A-Za-z.-]+)?$"
     at = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
     zero = F.lit(0).cast("long")
-    ok = F.struct(F.lit(False).alias("odd"), F.lit(True).alias("fits"))
 
-    def one(token: Column) -> Column:
-        op = F.regexp_extract(token, r"^(>=|<=|>|<|=|\^|~)?", 1)
-        rest = F.substring(token, F.length(op) + 1, F.lit(1 << 30))
-        a, b, c = _version(rest, part)
+    def fits(own: Column, op: Column, v: Column) -> Column:
+        a, b, c = v["a"], v["b"], v["c"]
         b0, c0 = F.coalesce(b, zero), F.coalesce(c, zero)
         low = at(a, b0, c0)
         caret = F.when(a > 0, at(a + 1, zero, zero)).when(b0 > 0, at(zero, b0 + 1, zero)).otherwise(at(zero, zero, c0 + 1))
         tilde = F.when(b.isNull(), at(a + 1, zero, zero)).otherwise(at(a, b0 + 1, zero))
         within = lambda high: (own >= low) & (own < high)
-        fits = (
+        return (
             F.when(op == ">=", own >= low).when(op == ">", own > low).when(op == "<=", own <= low).when(op == "<", own < low)
             .when(op == "^", within(caret)).when((op == "~") | b.isNull() | c.isNull(), within(tilde)).otherwise(own == low)
-        )
-        judged = F.struct((~rest.rlike(part)).alias("odd"), F.coalesce(fits, F.lit(False)).alias("fits"))
-        return F.when(token.isin("*", "x"), ok).otherwise(judged)
-
-    tokens = F.transform(F.split(wanted, r"\|\|"), lambda alt: F.transform(F.filter(F.split(alt, r"\s+"), lambda t: t != ""), one))
-    told = F.filter(F.transform(tokens, lambda alt: F.when(F.exists(alt, lambda t: t["odd"]), "odd").when(F.forall(alt, lambda t: t["fits"]), "yes").otherwise("no")), lambda x: x != "no")
-    known = own["a"].isNotNull() & wanted.isNotNull() & ~wanted.rlike(" - |:|/")
-    return F.when(known, F.when(F.size(told) == 0, False).when(F.get(told, F.lit(0)) == "yes", True))
+        )
+
+    def one(own: Column, token: Column) -> Column:
+        """`yes`, `no`, or `odd` for what is no comparator."""
+        op = F.regexp_extract(token, r"^(>=|<=|>|<|=|\^|~)?", 1)
+        split = F.struct(op.alias("op"), F.regexp_replace(token, r"^(>=|<=|>|<|=|\^|~)", "").alias("rest"))
+        read = lambda t: F.struct(t["op"].alias("op"), t["rest"].rlike(part).alias("known"), _version(t["rest"], part).alias("v"))
+        told = lambda t: F.when(~t["known"], "odd").when(F.coalesce(fits(own, t["op"], t["v"]), F.lit(False)), "yes").otherwise("no")
+        return F.when(token.isin("*", "x"), "yes").otherwise(let(let(split, read), told))
+
+    def judged(own: Column) -> Column:
+        alternatives = F.transform(F.split(wanted, r"\|\|"), lambda alt: F.transform(F.filter(F.split(alt, r"\s+"), lambda t: t != ""), lambda t: one(own, t)))
+        met = F.transform(alternatives, lambda alt: F.when(F.array_contains(alt, "odd"), "odd").when(F.array_contains(alt, "no"), "no").otherwise("yes"))
+        first = F.get(F.filter(met, lambda x: x != "no"), F.lit(0))
+        known = own["a"].isNotNull() & wanted.isNotNull() & ~wanted.rlike(" - |:|/")
+        return F.when(known, let(first, lambda x: F.when(x.isNull(), False).when(x == "yes", True)))
+
+    return let(_version(F.trim(version), r"^v?([0-9]+\.[0-9]+\.[0-9]+)"), judged)
 
 
 # How lines import from and export to other files, and how each language reads a setting with a fallback of its own.

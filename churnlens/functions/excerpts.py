@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from churnlens.functions.exprs import clip, token_estimate
+from churnlens.functions.exprs import clip, let, token_estimate
 
 # How a source block, the mark of what was left out, and the three notes are written; the lines about a function.
 BLOCK = r"(?dms)^## Source — `([^`]+)`\n\n_([^\n]*)_\n\n```[^\n]*\n(.*?)\n```\n(?=\n+## |\n*\z)"
@@ -18,11 +18,6 @@ ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 RANGES = "array<struct<lo:bigint,hi:bigint>>"
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value made once however often then uses it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def breaks(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 

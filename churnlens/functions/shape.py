@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from churnlens.functions.excerpts import let
+from churnlens.functions.exprs import let
 
 # A path with its lines, what comes before a commit's name, other names of a type, and keys that only later stages write.
 PATH_LINES = r"(?s)^(.+?):([0-9]+(?:-[0-9]+)?)\z"

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SMALL
 
-from churnlens.jobs import reference, reference_code, reference_more, reference_structure, reference_text, reference_checks  # noqa: F401
+from churnlens.jobs import reference, reference_code, reference_more, reference_structure, reference_text, reference_checks, reference_packages  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
