@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import staged, text_of
+from churnlens.llm.common import SCANNED, blocks, clusters, let, scan, staged, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Possessive where giving back characters could not make a match, so that long runs cost linear time.
@@ -81,21 +81,18 @@ def _found(text: Column, kind: str, base: bool) -> Column:
     """Spans of one pattern in text: start, end (code points, end exclusive), valid, the features; empty where nothing matches."""
     pattern = (BASE if base else WIDE)[kind]
     # lengths between and of matches, in turn, give the places: split and the list of matches walk alike
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, end: long, m: string, left: string>>").alias("out"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def put(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["m"].alias("m"), F.right(x["g"], F.lit(24)).alias("left"))
-        return F.struct(end.cast("long").alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def placed(p: Column) -> Column:
+        # the part after the last match goes along with a null match, for the character that follows
+        sizes = scan(p, F.lit(0), lambda at, x: at + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0)), "bigint")
+        put = lambda at: F.transform(p, lambda x, i: F.struct((F.get(at, i) + F.length(x["g"])).alias("start"), (F.get(at, i) + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"), F.right(x["g"], F.lit(24)).alias("left"), F.substring(F.get(p, i + 1)["g"], 1, 1).alias("right")))
+        return F.filter(let(sizes, put), lambda x: x["m"].isNotNull())
 
-    # the gap after the last match goes along with a null match, for the character that follows
-    placed = F.aggregate(F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"))), start, put, lambda a: a["out"])
     parts = lambda m: F.filter(F.split(m, "[^0-9A-Za-z]+"), lambda g: g != "")
     bucket = lambda n: F.when(n <= 3, 0).when(n == 4, 1).otherwise(2)
     others = "(?i)(" + "|".join(CONTEXT[k].removeprefix("(?i)") for k in KINDS if k != kind) + ")"
-    spans = F.transform(placed, lambda p, i: F.struct(
+    spans = F.transform(let(pairs, placed), lambda p: F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("base"), p["start"].alias("start"), p["end"].alias("end"),
         is_valid(kind, p["m"]).alias("valid"),
         F.least(F.size(parts(p["m"])), F.lit(5)).alias("groups"),
@@ -104,7 +101,7 @@ def _found(text: Column, kind: str, base: bool) -> Column:
         F.when(p["m"].rlike("-"), 2).when(p["m"].rlike(r"\x20"), 1).when(p["m"].rlike(r"\."), 3).when(p["m"].rlike(":"), 4).otherwise(0).alias("parting"),
         p["m"].rlike(r"[\[({]").cast("int").alias("bracket"),
         _side(F.right(p["left"], F.lit(1))).alias("before"),
-        _side(F.substring(F.get(gaps, i + 1), 1, 1)).alias("after"),
+        _side(F.coalesce(p["right"], F.lit(""))).alias("after"),
         p["left"].rlike(CONTEXT[kind]).cast("int").alias("context"),
         p["left"].rlike(others).cast("int").alias("other"),
     ))
@@ -125,20 +122,27 @@ def _crosses(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _sorted(cands: Column) -> Column:
+    """Candidates by their start; the rest of the order is of no account."""
+    return F.array_sort(cands, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+
+
 def labelled(cands: Column) -> Column:
     """The wide candidates with y: 1 on a valid base span of their kind, 0 on any other base match, null where none lies.
 
     An e-mail candidate with its sign that is on no base match failed for want of a domain: its parting is not a word in
     brackets, so it is 0 too.
     """
-    base = F.filter(cands, lambda c: c["base"])
 
-    def judged(c: Column) -> Column:
-        good = F.exists(base, lambda b: _crosses(b, c) & b["valid"] & (b["kind"] == c["kind"]))
-        bad = F.exists(base, lambda b: _crosses(b, c)) | ((c["kind"] == KINDS.index("email")) & (c["bracket"] == 0))
-        return F.struct(*(c[f].alias(f) for f in FEATURES), F.when(good, 1).when(bad, 0).alias("y"))
+    def one(cluster: Column) -> Column:
+        def judged(c: Column, base: Column) -> Column:
+            good = F.exists(base, lambda b: _crosses(b, c) & b["valid"] & (b["kind"] == c["kind"]))
+            bad = F.exists(base, lambda b: _crosses(b, c)) | ((c["kind"] == KINDS.index("email")) & (c["bracket"] == 0))
+            return F.struct(*(c[f].alias(f) for f in FEATURES), F.when(good, 1).when(bad, 0).alias("y"))
 
-    return F.transform(F.filter(cands, lambda c: ~c["base"]), judged)
+        return let(F.filter(cluster, lambda c: c["base"]), lambda base: F.transform(F.filter(cluster, lambda c: ~c["base"]), lambda c: judged(c, base)))
+
+    return F.flatten(F.transform(clusters(_sorted(cands)), one))
 
 
 @dataclass
@@ -231,12 +235,19 @@ def fit(found: DataFrame) -> Boosted:
 
 def chosen(cands: Column, model: Boosted) -> Column:
     """Spans (start, end, kind, base) in order: all valid base ones, and added ones clear of them and of better added ones."""
-    base = F.filter(cands, lambda c: c["base"] & c["valid"])
-    wide = F.filter(F.transform(F.filter(cands, lambda c: ~c["base"]), lambda c: F.struct(c["start"], c["end"], c["kind"], model.column(_codes(c)).alias("p"))), lambda c: _taken(c, model))
     better = lambda a, b: (b["p"] > a["p"]) | ((b["p"] == a["p"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["kind"] < a["kind"]))))
-    clear = F.filter(wide, lambda a: ~F.exists(base, lambda b: _crosses(a, b)) & ~F.exists(wide, lambda b: _crosses(a, b) & better(a, b)))
     shape = lambda xs, own: F.transform(xs, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.lit(own).alias("base")))
-    return F.when(F.size(cands) == 0, F.array().cast("array<struct<start: long, end: long, kind: int, base: boolean>>")).otherwise(F.array_sort(F.concat(shape(base, True), shape(clear, False))))
+
+    def one(cluster: Column) -> Column:
+        """What crosses a candidate is in its own cluster."""
+        base = F.filter(cluster, lambda c: c["base"] & c["valid"])
+        wide = F.filter(F.transform(F.filter(cluster, lambda c: ~c["base"]), lambda c: F.struct(c["start"], c["end"], c["kind"], model.column(_codes(c)).alias("p"))), lambda c: _taken(c, model))
+        both = F.struct(base.alias("base"), wide.alias("wide"))
+        clear = lambda x: F.filter(x["wide"], lambda a: ~F.exists(x["base"], lambda b: _crosses(a, b)) & ~F.exists(x["wide"], lambda b: _crosses(a, b) & better(a, b)))
+        return let(both, lambda x: F.concat(shape(x["base"], True), shape(clear(x), False)))
+
+    none = F.array().cast("array<struct<start: long, end: long, kind: int, base: boolean>>")
+    return F.when(F.size(cands) == 0, none).otherwise(F.array_sort(F.flatten(F.transform(clusters(_sorted(cands)), one))))
 
 
 def _taken(c: Column, model: Boosted) -> Column:
@@ -272,14 +283,22 @@ def find(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """text with each span, or each run of overlapping spans, as its kind in brackets."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def put(a: Column, s: Column) -> Column:
-        held = F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], held, F.element_at(names, s["kind"] + 1))).otherwise(a["out"]).alias("out"))
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, put, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int")))))
+    one = lambda c: F.struct(F.get(c, 0)["start"].alias("start"), F.array_max(F.transform(c, lambda s: s["end"])).alias("end"), F.get(c, 0)["kind"].alias("kind"))
+    cut = lambda t, begin, end: F.substr(t, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    def part(spans_: Column, begin: Column) -> Column:
+        """The text from begin to the last of some spans, cut from the whole once."""
+        last = F.get(spans_, F.size(spans_) - 1)["end"]
+        inner = lambda t: F.array_join(F.transform(spans_, lambda s, i: F.concat(cut(t, F.when(i > 0, F.get(spans_, i - 1)["end"]).otherwise(begin) - begin, s["start"] - begin), F.element_at(names, s["kind"] + 1))), "")
+        return let(cut(text, begin, last), inner)
+
+    def whole(runs: Column) -> Column:
+        ends = F.get(runs, F.size(runs) - 1)["end"]
+        begin = lambda k: F.when(k > 0, F.get(runs, k * SCANNED - 1)["end"]).otherwise(F.lit(0).cast("long"))
+        pieces = let(blocks(runs), lambda parts: F.transform(parts, lambda p, k: let(begin(k), lambda at: part(p, at))))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, (ends + 1).cast("int")))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.transform(clusters(spans), one), whole))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -162,3 +162,44 @@ def test_redaction(spark):
     assert got[1]["text"] == "mail [EMAIL] 😀 and [PHONE]." and got[1]["n_chars"] == len(got[1]["text"])
     assert (got[2]["text"], got[3]["text"], got[4]["text"]) == (None, "", "clean")
     assert pii.redact(awkward(spark)).count() == len(TEXTS) + 4
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 addresses and numbers in one text are found, chosen and put out in one go; the work grows with the text."""
+    import time
+
+    def text(n):
+        return "".join(f"person{i}@mail{i % 7}.example.org, +49 30 {1000000 + i} or {i % 256}.1.2.{i % 300};\n" for i in range(n))
+
+    took = {}
+    for n in (2_000, 34_000):
+        docs = spark.createDataFrame([(1, text(n)), (2, "none")], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: r for r in pii.find(docs).collect()}
+        out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+        took[n] = time.time() - began
+        valid = sum(i % 300 < 256 for i in range(n))
+        assert (got[1].n_email, got[1].n_phone, got[1].n_ip) == (n, n, valid)
+        assert out[1].count("[EMAIL]") == n and "@" not in out[1] and out[2] == "none"
+        assert out[1].split("\n")[1] == "[EMAIL], [PHONE] or [IP];"
+    assert took[34_000] < 60 * max(1, took[2_000])
+
+
+def test_scans_and_clusters(spark):
+    from pyspark.sql import functions as F
+
+    from churnlens.llm import common
+
+    for n in (0, 1, 255, 256, 257, 1000):
+        spans = [(3 * i, 3 * i + (7 if i % 5 == 0 else 2)) for i in range(n)]
+        df = spark.createDataFrame([(spans,)], "s array<struct<start:bigint,end:bigint>>")
+        state, cut = df.select(common.scan(F.col("s"), F.lit(0), lambda a, x: a + x["end"] - x["start"], "bigint"), common.clusters(F.col("s"))).first()
+        want, runs, far = [], [], -1
+        for begin, end in spans:
+            want.append((want[-1] + prev) if want else 0)
+            prev = end - begin
+            if begin >= far:
+                runs.append([])
+            runs[-1].append((begin, end))
+            far = max(far, end)
+        assert state == want and [[tuple(x) for x in c] for c in cut] == runs
