@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.functions import excerpts, shape
+from churnlens.functions import excerpts, markdown, shape
 from churnlens.jobs.reference import query
-from churnlens.operators import evidence, intervals
+from churnlens.operators import evidence, intervals, reports
 from churnlens.sources.tables import table
 
 
@@ -92,3 +92,54 @@ def q_shape(spark, d):
     raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ```json\n"), doc, F.lit("\n```\n"))).otherwise(doc)
     s = shape.shaped(shape.answer(raw), {"bundle_hash": F.concat(F.lit("h"), "doc_id")}, {"hotspot_id": F.concat(F.lit("H"), "doc_id"), "file": F.col("source")})
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.col("s")["doc"].alias("doc"), F.array_join(F.col("s")["told"], "|").alias("told"))
+
+
+# Prose with marks and links made of the documents' own words; no brackets open inside a word, so that SQL can peel by pattern alone.
+PROSE_LIKE = [(" the ", " *the* "), (". ", " (see x.co/a_b), "), (" de ", " :de_x: "), (" und ", " www.und! "), (" of ", " <of> 10:30:45 ")]
+
+
+def _proved(text: str) -> str:
+    for a, b in PROSE_LIKE:
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+_LINKISH = "(?i)://|//|www\\.|mailto:|xmpp:|@|\\.\\p{L}{2}|:[a-z0-9_+-]*[a-z][a-z0-9_+-]*:|:[+-]1:|:100:|:1234:"
+_ESCAPE = "regexp_replace({}, '([\\\\`*_\\[\\]<>|~&$])', '\\\\\\1', 'g')"
+PROSE_SQL = f"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_proved('text')}, '\\r\\n|[\\n\\r]', ' ', 'g'), '[ \\t]+', ' ', 'g')) AS x FROM documents),
+w AS (SELECT doc_id, list_transform(regexp_extract_all(x, '\\S+'), lambda t: CASE WHEN regexp_matches(t, '{_LINKISH}') AND regexp_matches(regexp_extract(t, '^[(\\[{{"'']*(.*?)[)\\]}},;:.!?"'']*$', 1), '{_LINKISH}')
+THEN {_ESCAPE.format("regexp_extract(t, '^([(\\[{\"'']*)', 1)")} || '`' || regexp_extract(t, '^[(\\[{{"'']*(.*?)[)\\]}},;:.!?"'']*$', 1) || '`' || {_ESCAPE.format("regexp_extract(t, '^[(\\[{\"'']*.*?([)\\]},;:.!?\"'']*)$', 1)")}
+WHEN regexp_matches(t, '{_LINKISH}') THEN '`' || t || '`' ELSE {_ESCAPE.format('t')} END) AS ws FROM t)
+SELECT doc_id, CASE WHEN len(ws) = 0 THEN '—' ELSE regexp_replace(regexp_replace(array_to_string(ws, ' '), '^([#+=>-])', '\\\\\\1'), '^([0-9]+)([.)])', '\\1\\\\\\2') END AS prose FROM w"""
+
+
+@query(PROSE_SQL)
+def q_md_prose(spark, d):
+    text = F.col("text")
+    for a, b in PROSE_LIKE:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return table(spark, d, "documents").select("doc_id", markdown.prose(text).alias("prose"))
+
+
+@query("""WITH o AS (SELECT l_suppkey AS report, l_partkey AS part, l_orderkey AS ok, l_linenumber AS n, l_quantity AS q, l_extendedprice AS e, CASE l_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS c, l_returnflag AS f FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY CASE WHEN f = 'R' THEN 3 ELSE 1 END, part % 3, q DESC, 'p' || part, n, ok || '-' || part || '-' || e) AS no FROM o)
+SELECT report, part, ok, n, e, CAST(no AS BIGINT) AS no FROM r""")
+def q_finding_order(spark, d):
+    i = table(spark, d, "lineitem")
+    p = F.col("l_partkey")
+    own = i.select(F.col("l_suppkey").alias("report"), p.alias("part"), F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("e"), F.concat(F.lit("p"), p).alias("path"), F.col("l_linenumber").alias("line"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_extendedprice").alias("key"), F.when(F.col("l_returnflag") == "R", "non_default_setting").otherwise("none").alias("gate"), F.when(p % 3 == 0, "high").when(p % 3 == 1, "medium").otherwise("low").alias("confidence"), F.col("l_quantity").alias("score"))
+    return reports.ordered(own, "report").select("report", "part", "ok", "n", "e", F.col("no").cast("long").alias("no"))
+
+
+@query("""WITH l AS (SELECT l_suppkey AS repo, count(*) AS n, count(*) FILTER (l_partkey % 3 = 0) AS high, count(*) FILTER (l_partkey % 3 = 1) AS medium, count(*) FILTER (l_partkey % 3 = 2) AS low, count(*) FILTER (l_partkey % 3 = 0) + count(*) FILTER (l_partkey % 3 = 2) AS proofs, count(*) FILTER (l_returnflag = 'R') AS gated FROM lineitem GROUP BY 1)
+SELECT repo, n + 6 + 5 * n + proofs + 2 * gated AS lines, n + 6 AS top_lines, n || ' findings: ' || concat_ws(', ', CASE WHEN high > 0 THEN high || ' high' END, CASE WHEN medium > 0 THEN medium || ' medium' END, CASE WHEN low > 0 THEN low || ' low' END) AS told FROM l""")
+def q_report_markdown(spark, d):
+    i, p = table(spark, d, "lineitem"), F.col("l_partkey")
+    proof = F.array(F.struct(F.lit("a.py:1").alias("ref"), F.lit(None).cast("string").alias("url"), F.lit("see *it*").alias("note")))
+    none = F.slice(proof, 1, 0)
+    own = i.select(
+        F.col("l_suppkey").alias("repo"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_extendedprice").alias("key"), F.concat(F.lit("src/"), p, F.lit(".py")).alias("path"), F.col("l_linenumber").alias("line"), F.lit("https://h/x").alias("url"), F.when(F.col("l_returnflag") == "R", "non_default_setting").otherwise("none").alias("gate"),
+        F.when(p % 3 == 0, "high").when(p % 3 == 1, "medium").otherwise("low").alias("confidence"), F.col("l_quantity").alias("score"), F.concat(F.lit("Claim_"), p).alias("claim"), F.when(p % 3 == 1, none).otherwise(proof).alias("evidence"),
+    )
+    lines = reports.markdown(own, "repo")
+    return lines.groupBy("repo").agg(F.count("*").alias("lines"), F.count_if(F.col("section") < 2).alias("top_lines"), F.max(F.when(F.col("at") == 3, F.col("line"))).alias("told"))
