@@ -220,6 +220,12 @@ def captured(text: Column, patterns: list[str]) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, "\n", -1), line), lambda t: t.isNotNull()))
 
 
+def exported(text: Column) -> Column:
+    """Names that lines export, once each in order (operator 56): of a list in braces each name, by its first where it is given another."""
+    names = F.flatten(F.transform(captured(text, EXPORTS), lambda c: F.transform(F.split(c, ","), lambda n: F.trim(F.substring_index(F.trim(n), " as ", 1)))))
+    return F.array_distinct(F.filter(names, lambda n: n.rlike(r"(?U)^[^\W\d]\w*$")))
+
+
 def reads_with_fallback(blanked: Column, setting: Column, lang: str | None, reads: dict[str, list[str]] = SETTING_READS) -> Column:
     """Whether text without comments reads a setting and gives a fallback there; null where the language has no such forms, false for what is no name (operator 55)."""
     forms = reads.get(lang or "")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.functions import excerpts, markdown, shape
+from churnlens.functions import code, excerpts, markdown, shape
 from churnlens.jobs.reference import query
-from churnlens.operators import evidence, intervals, reports
+from churnlens.operators import evidence, intervals, paths, reports
 from churnlens.sources.tables import table
 
 
@@ -143,3 +143,46 @@ def q_report_markdown(spark, d):
     )
     lines = reports.markdown(own, "repo")
     return lines.groupBy("repo").agg(F.count("*").alias("lines"), F.count_if(F.col("section") < 2).alias("top_lines"), F.max(F.when(F.col("at") == 3, F.col("line"))).alias("told"))
+
+
+@query("""WITH l AS (SELECT l_suppkey AS repo, l_partkey % 50 AS f, l_partkey AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo, f ORDER BY n) AS r FROM l) SELECT repo, 'src/a b' || chr(9) || f AS path, CASE WHEN p % 2 = 0 THEN '100644' ELSE '120000' END AS mode, left(sha256(p::VARCHAR), 40) AS sha, CAST(p % 4 AS INTEGER) AS stage FROM k WHERE r = 1""")
+def q_index_entries(spark, d):
+    """Items of a supplier as its index: a path's first entry counts; a path may hold blanks and tabs."""
+    ordered = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
+    entry = lambda x: F.concat(F.when(x["l_partkey"] % 2 == 0, "100644 ").otherwise("120000 "), F.left(F.sha2(x["l_partkey"].cast("string"), 256), F.lit(40)), F.lit(" "), x["l_partkey"] % 4, F.lit("\tsrc/a b\t"), x["l_partkey"] % 50, F.lit("\x00"))
+    own = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("repo")).agg(F.array_join(F.transform(ordered, entry), "").alias("listing"))
+    return paths.index_entries(own, ["repo"])
+
+
+FILE_NAMES = [".py", ".PYI", ".js", ".tar.gz", "", ".", ".yml", "/.py", ".mts"]
+LANGUAGES = {".py": "python", ".pyi": "python", ".js": "javascript", ".mts": "typescript", ".yml": "yaml", ".gz": "archive"}
+
+
+@query("""WITH f AS (SELECT p_partkey, p_partkey % 9 AS k FROM part) SELECT p_partkey, CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'python' WHEN 2 THEN 'javascript' WHEN 3 THEN 'archive' WHEN 6 THEN 'yaml' WHEN 8 THEN 'typescript' END AS lang,
+CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' WHEN 3 THEN 'archive' WHEN 6 THEN 'yaml' WHEN 8 THEN 'typescript' END AS rule_lang, k = 6 AS needs_leads FROM f""")
+def q_path_language(spark, d):
+    name = F.concat(F.lit("a.b/c"), F.get(F.array(*map(F.lit, FILE_NAMES)), (F.col("p_partkey") % 9).cast("int")))
+    return paths.with_language(table(spark, d, "part").select("p_partkey", name.alias("path")), LANGUAGES, {"javascript": "typescript"}, {"yaml"}).drop("path")
+
+
+@query("""WITH e AS (SELECT l_suppkey AS entity, CASE WHEN l_quantity > 20 THEN 'inbound' ELSE 'outbound' END AS direction, l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem)
+SELECT *, row_number() OVER (PARTITION BY entity, direction ORDER BY l_partkey, l_orderkey, l_linenumber, l_extendedprice) <= 25 AS kept FROM e""")
+def q_edges_kept(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.when(F.col("l_quantity") > 20, "inbound").otherwise("outbound").alias("direction"), "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return paths.capped_edges(e, ["entity"], ["l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+@query("SELECT l_suppkey AS entity, greatest(0, count(*) FILTER (l_quantity > 20) - 25) AS inbound, greatest(0, count(*) FILTER (l_quantity <= 20) - 25) AS outbound FROM lineitem GROUP BY 1")
+def q_edges_cut(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.when(F.col("l_quantity") > 20, "inbound").otherwise("outbound").alias("direction"))
+    return paths.cut_edges(e, ["entity"])
+
+
+@query("""SELECT l_suppkey AS doc_id, CASE WHEN bool_or(l_partkey % 5 = 0) THEN 1 ELSE 0 END + CASE WHEN bool_or(l_partkey % 5 = 1) THEN 2 ELSE 0 END + CASE WHEN bool_or(l_partkey % 5 = 2) THEN 1 ELSE 0 END + CASE WHEN bool_or(l_partkey % 5 = 3) THEN 1 ELSE 0 END AS names,
+bool_or(l_partkey % 5 = 1) AS listed FROM lineitem GROUP BY 1""")
+def q_exports(spark, d):
+    forms = F.array(*map(F.lit, ["export async function run() {", "export { one as first, two, 3x };", "async def job(x):", "class Thing:", "import { no } from 'x'"]))
+    text = F.array_join(F.transform(F.collect_list(F.col("l_partkey")), lambda p: F.get(forms, (p % 5).cast("int"))), "\n")
+    own = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id")).agg(code.exported(text).alias("e"))
+    return own.select("doc_id", F.size("e").alias("names"), F.array_contains("e", "one").alias("listed"))
