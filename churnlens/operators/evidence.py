@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from churnlens.functions.exprs import path_problem
+from churnlens.functions.exprs import let, path_problem
 from churnlens.operators.intervals import meet
 
 # Fixed value: the form of a dependency reference, ecosystem:name@version:path:line or line range.
@@ -128,39 +127,32 @@ def hunks(diffs: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
 CONTEXT_LINES = 3
 
 
-def filled(spans: list[tuple[int, int]], budget: int, n_lines: int, around: int = CONTEXT_LINES) -> list[tuple[int, int]]:
-    """Line ranges shown of a file: spans in the order given, whole and with lines about them, until one does not fit, which is cut."""
-    shown: set[int] = set()
-    for lo, hi in spans:
-        own = [x for x in range(max(1, lo - around), min(n_lines, hi + around) + 1)]
-        fresh = [x for x in own if x not in shown]
-        room = budget - len(shown)
-        if len(fresh) > room:
-            shown |= set(own[:room]) if room > around + 2 else set()
-            break
-        shown |= set(fresh)
-    out: list[tuple[int, int]] = []
-    for x in sorted(shown):
-        if out and x == out[-1][1] + 1:
-            out[-1] = (out[-1][0], x)
-        else:
-            out.append((x, x))
-    return out
-
-
-def excerpts(spans: DataFrame, budget: int) -> DataFrame:
+def excerpts(spans: DataFrame, budget: int, around: int = CONTEXT_LINES) -> DataFrame:
     """path, lo, hi: what is shown of each file (operator 101). spans has path, rank, lo, hi, n_lines: the functions of one file, best first.
 
-    What fits depends on all spans before it, so each file is one group in pandas; a group holds a file's functions, never more.
+    Spans are shown in turn, whole and with lines about them, until one does not fit, which is cut. What fits depends on all spans before it, so a
+    file's spans are one array and one aggregate, whose state is the lines shown, budget at most.
     """
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "lo", "hi"])
-        ranges = filled(list(zip(group["lo"].tolist(), group["hi"].tolist(), strict=True)), budget, int(group["n_lines"].max()))
-        return pd.DataFrame({"path": group["path"].iloc[0], "lo": [a for a, _ in ranges], "hi": [b for _, b in ranges]})
-
-    kind = spans.schema["path"].dataType.simpleString()
-    return spans.select("path", "rank", "lo", "hi", "n_lines").groupBy("path").applyInPandas(fill, f"path {kind}, lo long, hi long")
+    lines = lambda s: F.when(F.greatest(F.lit(1), s["lo"] - around) <= F.least(s["n"], s["hi"] + around), F.sequence(F.greatest(F.lit(1), s["lo"] - around), F.least(s["n"], s["hi"] + around))).otherwise(F.array().cast("array<bigint>"))
+
+    def show(a: Column, s: Column) -> Column:
+        def put(own: Column) -> Column:
+            new, room = F.array_except(own, a["shown"]), F.greatest(F.lit(0), budget - F.size(a["shown"]))
+            part = F.when(room > around + 2, F.array_union(a["shown"], F.slice(own, F.lit(1), room))).otherwise(a["shown"])
+            over = F.size(new) > room
+            return F.struct(F.when(over, part).otherwise(F.concat(a["shown"], new)).alias("shown"), over.alias("full"))
+
+        return F.when(a["full"], a).otherwise(let(lines(s), put))
+
+    def runs(xs: Column) -> Column:
+        edge = lambda step: F.filter(F.transform(xs, lambda x, i: F.when(~F.coalesce(F.try_element_at(xs, F.when(i + step >= 0, i + step + 1)) == x + step, F.lit(False)), x)), lambda x: x.isNotNull())
+        return F.arrays_zip(edge(-1).alias("lo"), edge(1).alias("hi"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("shown"), F.lit(False).alias("full"))
+    every = F.array_sort(F.collect_list(F.struct("rank", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))))
+    files = spans.groupBy("path").agg(every.alias("spans"), F.max("n_lines").cast("long").alias("n"))
+    shown = F.aggregate(F.transform("spans", lambda s: F.struct(s["lo"], s["hi"], F.col("n").alias("n"))), start, show, lambda a: F.array_sort(a["shown"]))
+    return files.select("path", F.explode(let(shown, runs)).alias("r")).select("path", "r.lo", "r.hi")
 
 
 # The forms of evidence, what a commit may have done, and the forms of references.
