@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnlens.jobs.reference import query
-from churnlens.operators import constraints, evidence, reuse, transcripts
+from churnlens.operators import constraints, evidence, reuse, scoring, transcripts
 from churnlens.sources.tables import table
 
 MODELS = {"click-1": {"input": 1.0, "cache_write_5m": 1.25, "cache_write_1h": 2.0, "cache_read": 0.1, "output": 5.0}, "view-2": {"input": 0.5, "cache_write_5m": 0.5, "cache_write_1h": 1.0, "cache_read": 0.25, "output": 2.0}}
@@ -164,3 +164,52 @@ def _by_item():
     from pyspark.sql.window import Window
 
     return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+RECORDS = """r AS (SELECT doc_id AS key, doc_id % 4 AS v, doc_id % 3 AS c, (doc_id // 2) % 4 AS l, doc_id % 5 AS s FROM documents)"""
+
+
+def _scored(spark, d):
+    i = F.col("doc_id")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    docs = table(spark, d, "documents")
+    run = docs.select(i.alias("key"), pick(list(scoring.OUTCOMES), i % 4).alias("verdict"), pick(scoring.LEVELS, i % 3).alias("confidence"))
+    labels = docs.where("doc_id % 5 <> 0").select(i.alias("key"), pick(scoring.LABELS, F.floor(i / 2) % 4).alias("label"), F.when(i % 5 == 1, "model").otherwise("person").alias("labelled_by"), F.when(i % 7 > 0, pick(scoring.LEVELS, F.floor(i / 3) % 3)).alias("deserved"))
+    return scoring.states(run, labels, "model")
+
+
+@query(f"""WITH {RECORDS} SELECT key, CASE s WHEN 0 THEN 'unlabelled' WHEN 1 THEN 'excluded' ELSE 'scored' END AS state, CASE WHEN s > 1 THEN CASE WHEN v = 3 AND l < 2 THEN 'correct refuted' WHEN v = l OR (v = 3 AND l = 3) OR (v = 2 AND l = 2) THEN 'same' WHEN v < 2 AND l >= 2 THEN 'wrong direction' ELSE 'one step' END END AS outcome,
+CASE WHEN s > 1 AND key % 7 > 0 THEN c - (key // 3) % 3 END AS step FROM r""")
+def q_score_records(spark, d):
+    only = lambda c: F.when(F.col("state") == "scored", c)
+    return _scored(spark, d).select("key", "state", only(scoring.outcome(F.col("verdict"), F.col("label"))).alias("outcome"), only(scoring.confidence_step(F.col("confidence"), F.col("deserved"))).alias("step"))
+
+
+@query("SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'found' WHEN doc_id % 4 = 1 THEN 'missed, false' ELSE 'missed' END WHEN doc_id % 2 = 0 OR doc_id % 4 = 1 THEN 'false' END AS state FROM documents")
+def q_score_duplicates(spark, d):
+    i = F.col("doc_id")
+    label = F.when(i % 3 == 0, i + 1)
+    told = F.when(i % 2 == 0, i + 1).when(i % 4 == 1, i + 2)
+    return table(spark, d, "documents").select(i.alias("key"), scoring.duplicate_state(i % 5 != 0, told, label).alias("state"))
+
+
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS key, CASE WHEN l_partkey % 3 = 0 THEN 'dependency' ELSE 'repo' END AS kind, 'p' || l_partkey % 3 AS path, l_linenumber * 10 AS lo, CAST(l_linenumber * 10 + l_quantity AS INTEGER) AS hi FROM lineitem),
+m AS (SELECT *, kind = 'repo' AND path = 'p' || (1 + key % 2) AS mine, (lo >= 1 AND hi <= 60) OR (lo >= 40 AND hi <= 100 + key % 9) AS held FROM f),
+s AS (SELECT key, count(*) FILTER (kind = 'repo') AS repo, count(*) FILTER (mine) AS own, count(*) FILTER (mine AND NOT held) AS open FROM m GROUP BY key),
+o AS (SELECT key, repo, own, CASE WHEN repo = 0 THEN 'not in repository' WHEN key % 11 = 0 THEN 'unreadable' WHEN own = 0 THEN 'elsewhere' WHEN open = 0 THEN 'shown' ELSE 'not shown' END AS outcome FROM s)
+SELECT key, outcome, outcome = 'shown' AND own < repo AS partly_elsewhere FROM o""")
+def q_score_shown(spark, d):
+    i, k = table(spark, d, "lineitem"), F.col("l_orderkey")
+    p = F.col("l_partkey") % 3
+    facts = i.select(k.alias("key"), F.when(p == 0, "dependency").otherwise("repo").alias("kind"), F.concat(F.lit("p"), p).alias("path"), (F.col("l_linenumber") * 10).alias("lo"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).cast("int").alias("hi")).distinct()
+    records = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("p"), 1 + F.col("o_orderkey") % 2).alias("file"), (F.col("o_orderkey") % 11 != 0).alias("readable"))
+    shown = records.select("key", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("first"), F.lit(60).cast("long").alias("last")), F.struct(F.lit(40).cast("long").alias("first"), (100 + F.col("key") % 9).alias("last")))).alias("s")).select("key", "s.first", "s.last")
+    return scoring.shown_states(records, facts, shown)
+
+
+@query("""WITH f AS (SELECT doc_id, doc_id % 97 AS key FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS n FROM f)
+SELECT doc_id, key, CASE WHEN n > 1 THEN 'skip' WHEN key % 4 IN (0, 3) THEN 'check' ELSE 'reuse' END AS action FROM r""")
+def q_plan_checks(spark, d):
+    own = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 97).alias("key"))
+    reasons = own.select("key", F.when(F.col("key") % 4 == 0, "claim changed").alias("reason")).where("key % 4 <> 3").distinct()
+    return scoring.planned(own, reasons, ["doc_id"])
