@@ -7,28 +7,35 @@ the sample changes the work only, never the result. The place of a key in both t
 first key that two similar texts share, neither has more before it than may differ. Texts of one key are first compared
 with three of its texts, those whose shingles are shared from the earliest place on, which takes time in proportion to
 the key. What links leave in more than one class is then paired within the key, under the same bound.
+
+Of a text, what is kept and shuffled is its keys and a bit or two a shingle; shingles are made again from the texts of
+pairs that the bits do not rule out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import fresh, sized, staged, text_of
+from churnlens.llm.common import BROADCAST_ROWS, fresh, sized, staged, text_of
 from churnlens.operators.components import components
 
 SIMILARITY, SHINGLE = 0.8, 5
 #: About so many texts, at most one in LEAST_STEP, tell which shingles are frequent; so many of the most frequent are put last.
 SAMPLE, LEAST_STEP, FREQUENT = 20_000, 8, 200_000
+#: A text's parity map has so many bits at least.
 MAP_BITS = 512
 #: Each text of a key is compared with so many of the key's texts before what is left is paired.
 PIVOTS = 3
-#: Shared keys, one long each, are broadcast up to so many.
-BROADCAST_KEYS = 2_000_000
+#: Shared keys, one long each, are broadcast up to so many; beyond, a bit map of them, eight bits a key and MARK_BITS at most.
+BROADCAST_KEYS, MARK_BITS = 2_000_000, 1 << 29
+#: Texts whose shingles a verifying task remembers.
+REMEMBERED = 64
 
 
 def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
@@ -54,9 +61,45 @@ def prefix(s: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.nd
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """A map of MAP_BITS bits: a bit says whether an odd number of the shingles fall on it."""
-    odd = np.bincount((s.view(np.uint64) >> np.uint64(11)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8))
+    """A map, 64 bits a long, of at least as many bits as there are shingles, a power of two: a bit says whether an odd number of them fall on it."""
+    bits = MAP_BITS
+    while bits < len(s):
+        bits *= 2
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(11)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def marked(df: DataFrame, column: str, keys: DataFrame, into: str) -> DataFrame:
+    """df with a boolean, into: false only where column is not among keys (one column of longs). A bit map of the keys is broadcast, not the keys."""
+    bits = min(MARK_BITS, max(1 << 15, 1 << (8 * keys.count()).bit_length()))
+    block, of, long = fresh(df, "block", "block_of", "longs")
+    at = lambda x: F.pmod(F.col(x), F.lit(bits))
+    (key,) = keys.columns
+    maps = keys.groupBy(F.shiftright(at(key), 15).alias(block)).agg(F.bitmap_construct_agg(at(key).bitwiseAND(F.lit(0x7FFF))).alias("map"))
+    longs = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("map", 8 * i + 1, F.lit(8))), 16, -10).cast("long"))
+    maps = staged(maps.select(block, longs.alias(long)))
+    place = f"pmod(`{column}`, {bits}L)"
+    # bytes of a map are in order of place, bits within a byte from the least
+    bit = F.expr(f"shiftright(get(`{long}`, cast(shiftright({place}, 6) & 511 as int)), cast(56 - ({place} & 56) + ({place} & 7) as int)) & 1")
+    joined = df.withColumn(of, F.shiftright(at(column), 15)).join(F.broadcast(maps), F.col(of) == F.col(block), "left")
+    return joined.withColumn(into, F.coalesce(bit == 1, F.lit(False))).drop(block, of, long)
+
+
+def among(df: DataFrame, column: str, keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of df whose column is among keys, a staged table of that column. Beyond so many keys, the rows that are surely not are left out before any shuffle."""
+    if keys.count() <= rows:
+        return df.join(F.broadcast(keys), column, "left_semi")
+    (may,) = fresh(df, "may")
+    return marked(df, column, keys, may).where(may).drop(may).join(keys, column, "left_semi")
+
+
+def beside(df: DataFrame, column: str, table: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df left joined to table, a staged one, where column equals key. Beyond so many rows, only the rows of df that may meet one are shuffled."""
+    if table.count() <= rows:
+        return df.join(F.broadcast(table), F.col(column) == F.col(key), "left")
+    (may,) = fresh(df, "may")
+    told = marked(df, column, table.select(key), may)
+    return told.where(may).join(table, F.col(column) == F.col(key), "left").unionByName(told.where(~F.col(may)), allowMissingColumns=True).drop(may)
 
 
 def with_id(docs: DataFrame) -> DataFrame:
@@ -65,23 +108,17 @@ def with_id(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("id"), docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
 
 
-def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and s, the shingles, of the texts (id, text) named by ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["id", "s"])
-
-    return staged(texts.join(sized(ids), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s array<long>"))
-
-
 def _unlike_left_out(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """The pairs without those whose maps differ too much: each bit that differs stands for a shingle that one set alone has,
-    and similar sets have at most (1 - t) / (1 + t) of both sizes."""
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    and similar sets have at most (1 - t) / (1 + t) of both sizes. Of two maps the longer is folded to the other's length."""
     a, b = (maps.select(F.col("id").alias(x), F.col("bits").alias(f"m{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    first = F.size("ma") <= F.size("mb")
+    short, long = F.when(first, F.col("ma")).otherwise(F.col("mb")), F.when(first, F.col("mb")).otherwise(F.col("ma"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", short.alias("short"), long.alias("long"))
+    folded = lambda j: F.aggregate(F.sequence(j, F.size("long") - 1, F.size("short")), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get("long", k)))
+    differ = F.aggregate(F.transform("short", lambda x, j: F.bit_count(x.bitwiseXOR(folded(j)))), F.lit(0), lambda s, x: s + x)
     most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-6
-    return pairs.join(a, "a").join(b, "b").where(differ <= most).select("a", "b")
+    return both.where(differ <= most).select("a", "b")
 
 
 def _frequent(texts: DataFrame, distinct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,34 +179,34 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     exact = staged(texts.groupBy("id", "doc_id").agg(F.count("*").alias("k")).groupBy("id").agg(F.min(order).alias("first"), F.min_by("k", order).alias("copies"), F.sum("k").alias("rows")))
     frequent, counts = _frequent(texts, exact.count())
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
             sets = [shingles(t.as_py()) for t in b.column(1)]
-            keys = [prefix(s, similarity, frequent, counts) for s in sets]
-            n = [len(k) for k in keys]
-            places = [np.arange(x, dtype=np.int32) for x in n]
-            sizes = np.array([len(s) for s in sets], np.int32)
-            maps = [m for s, k in zip(sets, n, strict=True) for m in (parity(s).tobytes(), *[None] * (k - 1))]
-            columns = [np.concatenate([*keys, np.zeros(0, np.int64)]), np.repeat(ids, n), np.repeat(sizes, n), np.concatenate([*places, np.zeros(0, np.int32)])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(maps, pa.binary())], names=["key", "id", "size", "pos", "bits"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([parity(s) for s in sets], [prefix(s, similarity, frequent, counts) for s in sets])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), *lists], names=["id", "size", "bits", "keys"])
 
     # of equal texts the row of least doc_id speaks for all
-    again = staged(exact.where("rows > 1").select(F.col("id").alias("of"), F.col("first.doc_id").alias("by")))
-    once = texts.join(sized(again), F.col("id") == F.col("of"), "left").where(F.col("of").isNull() | F.col("doc_id").eqNullSafe(F.col("by"))).select("id", "text")
+    again = staged(exact.where("rows > 1").select(F.col("id").alias("of"), F.col("first.doc_id").alias("by"), "copies"))
+    once = beside(texts, "id", again, "of").where(F.col("of").isNull() | F.col("doc_id").eqNullSafe(F.col("by")))
     if not exact.where("copies > 1").isEmpty():
-        once = once.dropDuplicates(["id"])  # rows that repeat text and doc_id
-    # the parity map goes with a text's first key alone
-    rows = staged(once.mapInArrow(keyed, "key long, id long, size int, pos int, bits binary"))
-    shared = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    members = staged(rows.select("key", "id", "size", "pos").join(sized(shared, BROADCAST_KEYS), "key", "left_semi"))
-    maps = rows.where("pos = 0").select("id", "size", F.array(*(F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(MAP_BITS // 64))).alias("bits"))
-    roots = _linked(members, maps, once, similarity)
+        more = F.coalesce("copies", F.lit(1)) > 1  # rows that repeat text and doc_id
+        once = once.where(~more).unionByName(once.where(more).dropDuplicates(["id"]))
+    once = once.select("id", "text")
+    known = staged(once.mapInArrow(told, "id long, size int, bits array<long>, keys array<long>"))
+    roots = _linked(known, once, similarity)
     return exact.join(roots, exact["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "first", "copies", "rows")
 
 
-def _linked(members: DataFrame, maps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _members(known: DataFrame) -> DataFrame:
+    """key, id, size, pos: each text under those of its keys that it shares."""
+    rows = known.select("id", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    return staged(among(rows, "key", shared, BROADCAST_KEYS).select("key", "id", "size", "pos"))
+
+
+def _linked(known: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """node, root of what the similar pairs among texts of one key connect. A pair is left out only where both are of one class by links found before."""
+    members, maps = _members(known), known.select("id", "size", "bits")
     links = _similar(_pivot_pairs(members, similarity), maps, texts, similarity)
     roots = staged(components(links))
     more = _similar(_open_pairs(members, roots, similarity), maps, texts, similarity)
@@ -177,15 +214,24 @@ def _linked(members: DataFrame, maps: DataFrame, texts: DataFrame, similarity: f
 
 
 def _similar(pairs: DataFrame, maps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b that are similar: those whose maps do not rule it out, verified on their shingles."""
+    """The pairs a, b that are similar: those whose maps do not rule it out, verified on the shingles of both texts."""
     pairs = staged(_unlike_left_out(staged(pairs), maps, similarity))
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _sets(texts, ids)
-    a, b = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    # of two empty sets the share is 0 / 0: equal texts never get here, so those are blanks of different kinds, which are alike
-    alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
-    return staged(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
+    needed = staged(among(texts, "id", ids), codec="zstd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(REMEMBERED)(shingles)  # pairs of a text come one after another
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = of(x.as_py()), of(y.as_py())
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                # of two empty sets the share is 0 / 0: equal texts never get here, so those are blanks of different kinds, which are alike
+                alike.append(both >= similarity * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    a, b = (needed.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -198,10 +244,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of, id_, keep, copies = fresh(docs, "of", "id", "keep", "copies")
     # only classes of more than one row are told; keep is null but for the text that stays
     told = found.join(best, "root").where("all > 1").select(F.col("id").alias(id_), F.when(F.col("id") == F.col("best.id"), F.col("first")).alias(keep), F.col("copies").alias(copies))
-    joined = docs.withColumn(of, F.xxhash64(text_of(docs))).join(sized(staged(told)), F.col(of) == F.col(id_), "left")
-    stays = F.col(id_).isNull() | (F.col(keep).isNotNull() & F.col(keep)["doc_id"].eqNullSafe(docs["doc_id"].cast("long")))
+    joined = beside(docs.withColumn(of, F.xxhash64(text_of(docs))), of, staged(told), id_)
+    stays = F.col(id_).isNull() | (F.col(keep).isNotNull() & F.col(keep)["doc_id"].eqNullSafe(F.col("doc_id").cast("long")))
     kept = joined.where(stays)
     single = F.coalesce(F.col(copies), F.lit(1)) == 1
-    once = kept.where(single).select(*(docs[c] for c in docs.columns))
+    once = kept.where(single).select(*docs.columns)
     more = kept.where(~single).dropDuplicates([of]).select(*docs.columns)
     return once.unionByName(more)

@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from conftest import MEDIUM
 
 from churnlens.llm import mixing, near_copies
+from churnlens.sources import staging
 from llm.cases import CLASHES, TEXTS, awkward, clashing, none
 
 
@@ -164,3 +166,52 @@ def test_a_crowd_of_near_copies_is_one_class(spark):
     own = sets(rows[0][1])
     far = {i for i, t in rows if len(own & sets(t)) < 0.8 * len(own | sets(t))}
     assert 0 in got and {i for i, _ in strangers} <= got and len(got) == 501 and not far
+
+
+def test_near_copies_of_long_texts_stage_less_than_the_texts(spark, tmp_path, monkeypatch):
+    rng, rows = random.Random(7), []
+    for g in range(100):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(3000)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w[:-100], *(f"y{g}x{i}" for i in range(100))]))]
+    folders = iter(range(1000))
+    monkeypatch.setattr(staging, "scratch", lambda _: f"{tmp_path}/{next(folders)}")
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [2 * g for g in range(100)]
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1.2 * sum(len(t) for _, t in rows)
+
+
+def test_maps_of_unlike_lengths_never_rule_out_similar_sets(spark):
+    rng, sets, pairs = random.Random(9), [], []
+    for n in (3, 480, 511, 512, 513, 600, 1024, 1100, 3000):
+        base = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        # by as many of either as 0.8 allows, and strangers of the same size
+        sets += [base, base + [rng.randrange(-(2**63), 2**63) for _ in range(n // 4)], base[: -(-4 * n // 5)], [rng.randrange(-(2**63), 2**63) for _ in range(n)]]
+        at = len(sets) - 4
+        pairs += [(at, at + 1), (at, at + 2), (at, at + 3)]
+    arrays = [near_copies.np.array(sorted(s), near_copies.np.int64) for s in sets]
+    maps = spark.createDataFrame([(i, len(s), near_copies.parity(s).tolist()) for i, s in enumerate(arrays)], "id long, size int, bits array<long>")
+    got = {(r["a"], r["b"]) for r in near_copies._unlike_left_out(spark.createDataFrame(pairs, "a long, b long"), maps, 0.8).collect()}
+    assert {p for p in pairs if p[1] % 4 != 3} <= got
+    assert not {p for p in pairs if p[1] % 4 == 3 and len(sets[p[0]]) > 400} & got
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_rows_are_met_beyond_what_is_broadcast(spark, rows):
+    rng = random.Random(13)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(3000)] + [0, -1, 2**63 - 1, -(2**63)]
+    held = [*keys[::2], *(rng.randrange(-(2**63), 2**63) for _ in range(3000)), None, 0, 0]
+    df = spark.createDataFrame(list(enumerate(held)), "block long, k long")
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "of long, at long")
+    got = near_copies.among(df, "k", table.select(near_copies.F.col("of").alias("k")), rows)
+    assert sorted(got.columns) == ["block", "k"] and sorted(r["block"] for r in got.collect()) == [i for i, k in enumerate(held) if k in set(keys)]
+    at = {k: i for i, k in enumerate(keys)}
+    assert sorted((r["block"], r["k"], r["at"]) for r in near_copies.beside(df, "k", table, "of", rows).fillna(-7, ["k", "at"]).collect()) == sorted((i, -7 if k is None else k, at.get(k, -7)) for i, k in enumerate(held))
+
+
+def test_classes_are_the_same_beyond_what_is_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(planted(12, seed=4) + [(5, "same id and text " * 9)] * 3, "doc_id long, text string")
+    small = sorted(map(tuple, near_copies.one_of_each(docs).collect()))
+    monkeypatch.setattr(near_copies, "BROADCAST_KEYS", 0)
+    for f in (near_copies.among, near_copies.beside):
+        monkeypatch.setattr(f, "__defaults__", (0,))
+    assert sorted(map(tuple, near_copies.one_of_each(docs).collect())) == small
