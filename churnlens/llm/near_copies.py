@@ -1,6 +1,8 @@
-"""Near copies at a set similarity: texts whose five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
+"""Near copies: texts whose SimHash fingerprints differ in two bits or fewer, and all others at a set similarity.
 
-SimHash fingerprints miss many such pairs, above all where a block was cut or added, so the keys are shingles. Two sets of
+Fingerprints come first, as in operator 1: Golay keys, candidates that share one, verified by their bits. They miss many pairs
+whose five-word shingles have a Jaccard similarity of 0.8 or more, above all where a block was cut or added. The exact way
+for these has shingles for keys, and leaves out only pairs that fingerprints have put into one class. Two sets of
 0.8 share at least 0.8 of the larger one, hence in any common order one of the first 0.2 of each (and one more): these are
 a text's keys. The order puts shingles last that are frequent in a sample, so common lines and passages are rarely keys;
 the sample changes the work only, never the result. The place of a key in both texts bounds what they can share: at the
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import BROADCAST_ROWS, fresh, sized, staged, text_of
+from churnlens.llm.simhash import fingerprint, near_pairs
 from churnlens.operators.components import components
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -182,8 +185,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in ([parity(s) for s in sets], [prefix(s, similarity, frequent, counts) for s in sets])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), *lists], names=["id", "size", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), *lists], names=["id", "size", "fp", "bits", "keys"])
 
     # of equal texts the row of least doc_id speaks for all
     again = staged(exact.where("rows > 1").select(F.col("id").alias("of"), F.col("first.doc_id").alias("by"), "copies"))
@@ -192,7 +196,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         more = F.coalesce("copies", F.lit(1)) > 1  # rows that repeat text and doc_id
         once = once.where(~more).unionByName(once.where(more).dropDuplicates(["id"]))
     once = once.select("id", "text")
-    known = staged(once.mapInArrow(told, "id long, size int, bits array<long>, keys array<long>"))
+    known = staged(once.mapInArrow(told, "id long, size int, fp long, bits array<long>, keys array<long>"))
     roots = _linked(known, once, similarity)
     return exact.join(roots, exact["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "first", "copies", "rows")
 
@@ -204,10 +208,28 @@ def _members(known: DataFrame) -> DataFrame:
     return staged(among(rows, "key", shared, BROADCAST_KEYS).select("key", "id", "size", "pos"))
 
 
+def _by_fingerprint(known: DataFrame) -> DataFrame:
+    """node, root for each text that its fingerprint links to others: the least id of those that links of two bits or fewer connect."""
+    fps = components(near_pairs(known.select("fp").distinct()))
+    rooted = staged(known.join(sized(staged(fps)), known["fp"] == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("class")))
+    named = staged(rooted.groupBy("class").agg(F.min("id").alias("root"), F.count("*").alias("n")).where("n > 1").select("class", "root"))
+    return staged(rooted.join(sized(named), "class").select(F.col("id").alias("node"), "root"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of two classes."""
+    roots = sized(roots)
+    for x in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _linked(known: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """node, root of what the similar pairs among texts of one key connect. A pair is left out only where both are of one class by links found before."""
+    """node, root of what near fingerprints and similar pairs connect. A pair is left out only where both are of one class by links found before."""
+    alike = _by_fingerprint(known)
     members, maps = _members(known), known.select("id", "size", "bits")
-    links = _similar(_pivot_pairs(members, similarity), maps, texts, similarity)
+    links = _similar(_apart(staged(_pivot_pairs(members, similarity)), alike), maps, texts, similarity)
+    links = links.unionByName(alike.select(F.col("root").alias("a"), F.col("node").alias("b")))
     roots = staged(components(links))
     more = _similar(_open_pairs(members, roots, similarity), maps, texts, similarity)
     return roots if more.isEmpty() else components(links.unionByName(more))

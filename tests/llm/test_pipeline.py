@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from conftest import MEDIUM
 
-from churnlens.llm import mixing, near_copies
+from churnlens.llm import mixing, near_copies, simhash
 from churnlens.sources import staging
 from llm.cases import CLASHES, TEXTS, awkward, clashing, none
 
@@ -215,3 +215,20 @@ def test_classes_are_the_same_beyond_what_is_broadcast(spark, monkeypatch):
     for f in (near_copies.among, near_copies.beside):
         monkeypatch.setattr(f, "__defaults__", (0,))
     assert sorted(map(tuple, near_copies.one_of_each(docs).collect())) == small
+
+
+def test_near_fingerprints_are_one_class_whatever_their_shingles(spark):
+    """Pairs within two bits whose five-word shingles are less alike than 0.8: fingerprints alone tell that they are near."""
+    rng, rows = random.Random(17), []
+    while len(rows) < 20:
+        w = [f"v{rng.randrange(3000)}" for _ in range(150)]
+        other = list(w)
+        for i in rng.sample(range(0, 150, 6), 5):
+            other[i] = f"z{rng.randrange(10**6)}"
+        a, b = " ".join(w), " ".join(other)
+        share = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        if share < 0.8 and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 2:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    strangers = [(100 + i, " ".join(f"v{rng.randrange(3000)}" for _ in range(150))) for i in range(50)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows + strangers, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(0, 20, 2), *range(100, 150)]
