@@ -14,7 +14,7 @@ def _text(c):
 
 
 def _parts(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("p"), (F.col("l_linenumber") % 2).alias("odd")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("p"), (F.col("l_linenumber") % 2).alias("odd")).repartition("repo").distinct()
 
 
 @query("""WITH l AS (SELECT l_suppkey AS repo, l_partkey AS p, max(l_linenumber % 2) AS odd FROM lineitem GROUP BY 1, 2), x AS (SELECT *, p % 3 AS a, p % 5 AS b, p % 7 AS c, CASE WHEN odd = 1 THEN '^' ELSE '~' END AS op FROM l)

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from churnlens.functions.code import package_name, satisfies
-from churnlens.sources.staging import staged
+from churnlens.functions.exprs import let
+from churnlens.sources.staging import sized, staged
 
 # The sections of package.json in the order in which they count, and what a package's status tells.
 NPM_SECTIONS = ["dependencies", "devDependencies", "optionalDependencies", "peerDependencies"]
@@ -57,8 +59,7 @@ def _yaml(text: str):
 
 def _object(v: Column, path: str = "$") -> Column:
     """The object at a path as a map, or null."""
-    there = F.try_variant_get(v, path, "variant")
-    return F.when(F.startswith(F.schema_of_variant(there), F.lit("OBJECT")), there.cast(MAP))
+    return let(F.try_variant_get(v, path, "variant"), lambda there: F.when(F.startswith(F.schema_of_variant(there), F.lit("OBJECT")), there.cast(MAP)))
 
 
 def _string(v: Column, path: str = "$") -> Column:
@@ -75,18 +76,18 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def _pairs(files: DataFrame, value: Column, order: int = 0) -> DataFrame:
-    """repo, path, ord, name, value from a map column of each file."""
-    return files.select("repo", "path", F.explode(value).alias("name", "v")).select("repo", "path", F.lit(order).alias("ord"), "name", F.coalesce(_string(F.col("v")), F.col("v").cast("string")).alias("value"))
+def _named_values(value: Column, told) -> Column:
+    """A map of variants as a map of strings, made before it is exploded: each variant of a document holds the names of all its keys, so a row for each would
+    take the square of the document's length."""
+    return F.transform_values(value, lambda _, v: told(v))
 
 
 def npm_declared(files: DataFrame) -> DataFrame:
     """repo, folder, ecosystem, name, declared, declared_in of package.json files (operator 17): of a name the first section counts. Files that are no JSON object declare nothing."""
     docs = _named(files, "package.json").where(~F.col("path").rlike("(^|/)node_modules/")).select("repo", "path", F.try_parse_json("text").alias("v"))
-    every = [_pairs(docs, _object(F.col("v"), f"$.{s}"), i) for i, s in enumerate(NPM_SECTIONS)]
-    all_ = every[0]
-    for more in every[1:]:
-        all_ = all_.union(more)
+    told = lambda v: F.coalesce(_string(v), v.cast("string"))
+    sections = F.array(*(_named_values(_object(F.col("v"), f"$.{s}"), told) for s in NPM_SECTIONS))
+    all_ = docs.select("repo", "path", F.posexplode_outer(sections).alias("ord", "m")).select("repo", "path", "ord", F.explode_outer("m").alias("name", "value")).where("name IS NOT NULL")
     return all_.groupBy("repo", "path", "name").agg(F.min_by("value", "ord").alias("declared")).select("repo", folder(F.col("path")).alias("folder"), F.lit("npm").alias("ecosystem"), "name", "declared", F.array("path").alias("declared_in"))
 
 
@@ -95,14 +96,18 @@ def npm_locked(files: DataFrame) -> DataFrame:
     v = F.col("v")
     npm = _named(files, "package-lock.json").select("repo", "path", F.try_parse_json("text").alias("v"))
     packages, old = _object(v, "$.packages"), _object(v, "$.dependencies")
-    entries = npm.select("repo", "path", packages.isNotNull().alias("new"), F.explode(F.coalesce(packages, old)).alias("key", "v"))
+    # what is exploded is made once a document and a step before: a plain explode has it made again for filters, and what stands beside it for each entry
+    told = let(packages, lambda p: F.struct(p.isNotNull().alias("new"), _named_values(F.coalesce(p, old), lambda x: _string(x, "$.version")).alias("m")))
+    maps = npm.select("repo", "path", told.alias("s")).select("repo", "path", F.col("s.new").alias("new"), F.col("s.m").alias("m"))
+    entries = maps.select("repo", "path", "new", F.explode_outer("m").alias("key", "version")).where("key IS NOT NULL")
     top = ~F.col("new") | (F.startswith("key", F.lit("node_modules/")) & ~F.substring("key", 14, 1 << 20).contains("/node_modules/"))
-    own = entries.where(top).select("repo", folder(F.col("path")).alias("folder"), F.lit(0).alias("ord"), F.when(F.col("new"), F.substring("key", 14, 1 << 20)).otherwise(F.col("key")).alias("name"), _string(v, "$.version").alias("version"))
+    own = entries.where(top).select("repo", folder(F.col("path")).alias("folder"), F.lit(0).alias("ord"), F.when(F.col("new"), F.substring("key", 14, 1 << 20)).otherwise(F.col("key")).alias("name"), "version")
     pnpm = _named(files, "pnpm-lock.yaml").select("repo", "path", F.try_parse_json(_as_json(_yaml)("text")).alias("v"))
     at = F.coalesce(F.try_variant_get(v, "$.importers['.']", "variant"), v)
     rooted = pnpm.select("repo", "path", at.alias("v"))
     for s in NPM_SECTIONS[:3]:
-        more = rooted.select("repo", "path", F.explode(_object(v, f"$.{s}")).alias("name", "v")).select("repo", folder(F.col("path")).alias("folder"), F.lit(1).alias("ord"), "name", F.substring_index(F.coalesce(_string(v), _string(v, "$.version")), "(", 1).alias("version"))
+        told = _named_values(_object(v, f"$.{s}"), lambda x: F.substring_index(F.coalesce(_string(x), _string(x, "$.version")), "(", 1))
+        more = rooted.select("repo", "path", F.explode(told).alias("name", "version")).select("repo", folder(F.col("path")).alias("folder"), F.lit(1).alias("ord"), "name", "version")
         own = own.union(more)
     return own.where(F.col("version").isNotNull()).groupBy("repo", "folder", "name").agg(F.min_by("version", "ord").alias("version")).select("repo", "folder", F.lit("npm").alias("ecosystem"), "name", "version")
 
@@ -209,13 +214,21 @@ def maven_locked(files: DataFrame) -> DataFrame:
 
 
 def nearest(rows: DataFrame, held: DataFrame, on: list[str], value: str) -> DataFrame:
-    """rows with value of the held row, equal in on, whose folder is the nearest at or above theirs, or null. A row meets one folder for each of its levels."""
-    parts = F.filter(F.split("folder", "/"), lambda p: p != "")
+    """Distinct rows with value of the held row, equal in on, whose folder is the nearest at or above theirs, or null.
+
+    A row meets one folder for each of its levels at which its group (on without its last) holds anything. Rows and what is held are dealt out by on together and
+    once: what a folder holds is carried to the rows that ask there, and the deepest that a row found counts.
+    """
+    group, parts = on[:-1], F.filter(F.split("folder", "/"), lambda p: p != "")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    at = held.select(*on, F.col("folder").alias("_above"), F.col(value).alias("_value"))
-    levels = rows.select(*on, "folder", F.explode(above).alias("_above")).distinct()
-    best = levels.join(at, [*on, "_above"]).groupBy(*on, "folder").agg(F.max_by("_value", F.length("_above")).alias(value))
-    return rows.join(best, [*on, "folder"], "left")
+    at = staged(held.where(F.col("folder").isNotNull()).dropna(subset=on).select(*on, F.col("folder").alias("_above"), F.struct(F.col(value).alias("v")).alias("_value")))
+    homes = sized(staged(at.select(*group, "_above", F.lit(True).alias("_home")).distinct()))
+    asked = rows.withColumn("_above", F.explode_outer(above)).join(homes, [*group, "_above"], "left").where("_home OR coalesce(_above, '') = ''").drop("_home")
+    both = asked.withColumn("_kind", F.lit(1)).unionByName(at.withColumn("_kind", F.lit(0)), allowMissingColumns=True).repartition(*on)
+    here = F.first("_value", True).over(Window.partitionBy(*on, "_above").orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_value", here).where("_kind = 1")
+    best = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.length("_above")))
+    return found.groupBy(*rows.columns).agg(best.alias("_value")).select(*rows.columns, F.col("_value.v").alias(value))
 
 
 def discovered(declared: DataFrame, locked: DataFrame, installed: DataFrame) -> DataFrame:
@@ -223,25 +236,29 @@ def discovered(declared: DataFrame, locked: DataFrame, installed: DataFrame) ->
 
     A lock counts from the nearest folder at or above the manifest's; installed(repo, ecosystem, name, version, editable) is what is there. The basis is the lock, else
     the one version that is declared, else the range; a version that does not meet it is not available. Maven packages need no installed
-    copy to have a version: theirs is the locked or the declared one, and installed then names those whose sources are there.
+    copy to have a version: theirs is the locked or the declared one, and installed then names those whose sources are there. Declared packages are dealt out once, by repository
+    and name, and then staged.
     """
-    have = installed.select("repo", "ecosystem", "name", F.col("version").alias("_have"), "editable")
+    have = installed.where("ecosystem <> 'maven'").select("repo", "ecosystem", "name", F.col("version").alias("_have"), "editable", F.lit(None).cast("array<string>").alias("_sources"))
+    sources = installed.where("ecosystem = 'maven'").groupBy("repo", "ecosystem", "name").agg(F.collect_set("version").alias("_sources"))
+    have = have.unionByName(sources, allowMissingColumns=True)
     known = nearest(declared, locked.withColumnRenamed("version", "_lock"), ["repo", "ecosystem", "name"], "_lock")
     maven, spec, own = F.col("ecosystem") == "maven", F.col("declared"), F.col("_have")
     one = F.when(F.col("ecosystem") == "pypi", F.nullif(F.regexp_extract(spec, r"^==([^,*]+)$", 1), F.lit(""))).when(F.col("ecosystem") == "npm", F.when(spec.rlike(r"^v?\d+\.\d+\.\d+"), F.trim(spec))).otherwise(F.when((spec != "") & ~spec.rlike(r"[\[\](),+$]"), spec))
     pinned = F.when(F.col("ecosystem") == "npm", F.when(one == own, one)).otherwise(one)
     wanted = F.coalesce(F.col("_lock"), pinned)
     version = F.when(maven, wanted).otherwise(own)
-    there = known.join(have.where("ecosystem <> 'maven'"), ["repo", "ecosystem", "name"], "left").withColumns({"_wanted": wanted, "_pinned": pinned})
-    sources = have.where("ecosystem = 'maven'").select("repo", "name", F.col("_have").alias("_wanted"), F.lit(True).alias("_sources")).distinct()
-    all_ = there.join(sources, ["repo", "name", "_wanted"], "left")
-    # a range is looked at once, and only where it decides
-    asked = ~maven & own.isNotNull() & F.col("_lock").isNull() & F.col("_pinned").isNull()
-    all_ = all_.withColumn("_in", F.when(asked | ((F.col("ecosystem") == "npm") & F.col("_lock").isNull()), satisfies(own, F.when(F.col("ecosystem") == "npm", spec).otherwise(comparators(spec)))))
+    there = staged(known.join(have, ["repo", "ecosystem", "name"], "left").withColumns({"_wanted": wanted, "_pinned": pinned}))
+    # a range is looked at only where it decides, and once for each version that it meets anywhere
+    npm = F.col("ecosystem") == "npm"
+    range_ = F.when(~maven & own.isNotNull() & F.col("_lock").isNull() & (npm | F.col("_pinned").isNull()), F.when(npm, spec).otherwise(comparators(spec)))
+    asked = there.withColumns({"_v": own, "_range": range_})
+    met = sized(staged(asked.select("_v", "_range").dropna().distinct().withColumn("_in", satisfies(F.col("_v"), F.col("_range")))))
+    all_ = asked.join(met, ["_v", "_range"], "left")
     in_range = F.col("_in")
     reason = (
         F.when(maven & F.col("_wanted").isNull(), F.when(spec == "", "no version declared").otherwise("declared version is a range"))
-        .when(maven, F.when(F.col("_sources").isNull(), "no sources in the local caches"))
+        .when(maven, F.when(~F.coalesce(F.array_contains("_sources", F.col("_wanted")), F.lit(False)), "no sources in the local caches"))
         .when(own.isNull(), "no installed copy")
         .when(F.coalesce(F.col("editable"), F.lit(False)), "editable install")
         .when(F.col("_lock").isNotNull(), F.when(F.col("_lock") != own, F.concat(F.lit("installed "), own, F.lit(", the lock says "), F.col("_lock"))))
