@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from churnlens.functions.exprs import let, path_problem
-from churnlens.operators.intervals import meet
+from churnlens.operators.intervals import gathered, meet
+from churnlens.sources.staging import BROADCAST_ROWS, staged
 
 # Fixed value: the form of a dependency reference, ecosystem:name@version:path:line or line range.
 DEPENDENCY_REF = r"^(pypi|npm|maven):((?:@[^/@:\s]+/)?[^@:\s]+)@([^:@\s]+):([^:]+):([0-9]+)(?:-([0-9]+))?$"
@@ -88,12 +89,28 @@ def introduced(ranges: DataFrame, blame: DataFrame, keys: list[str]) -> DataFram
 
     ranges has keys, path, lo, hi and blame path, line, sha. Runs of lines of one commit are ranges too, and ranges meet by bins of their
     lengths, so no range is listed line by line; a range that ends before it begins has no lines, and lines that are not committed have no sha.
+    Up to BROADCAST_ROWS commits are numbered in their order, and lists of numbers are dealt out in place of pairs with names; beyond, it is the pairs.
     """
-    step = Window.partitionBy("path", "sha").orderBy("line")
-    lines = blame.where(F.col("sha") != ZERO_SHA).select("path", "line", "sha").distinct()
-    runs = lines.withColumn("run", F.col("line") - F.row_number().over(step)).groupBy("path", "sha", "run").agg(F.min("line").alias("_first"), F.max("line").alias("_last")).drop("run")
-    found = meet(ranges.select(*keys, "path", "lo", "hi"), runs, ["path"], right_range=("_first", "_last")).select(*keys, "sha").distinct()
-    return found.groupBy(*keys).agg(F.array_sort(F.collect_list("sha")).alias("shas"))
+    asked, lines = ranges.select(*keys, "path", "lo", "hi"), blame.where(F.col("sha") != ZERO_SHA).select("path", "line", "sha")
+    shas = staged(lines.select("sha").distinct())
+    n = shas.count()
+    if n > BROADCAST_ROWS:
+        found = meet(asked, _runs(lines, "sha"), ["path"], right_range=("_first", "_last")).select(*keys, "sha").distinct()
+        return found.groupBy(*keys).agg(F.array_sort(F.collect_list("sha")).alias("shas"))
+    names = staged(shas.agg(F.array_sort(F.collect_list("sha")).alias("names")))
+    first, kind = (-(1 << 15), "smallint") if n <= 1 << 16 else (0, "int")
+    numbers = names.select(F.posexplode("names").alias("at", "sha")).select("sha", (F.col("at") + first).cast(kind).alias("no"))
+    runs = staged(_runs(lines.join(F.broadcast(numbers), "sha").select("path", "line", "no"), "no"))
+    found = gathered(asked, runs, ["path"], keys, "no", right_range=("_first", "_last"))
+    own = found.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("_own"))
+    return own.withColumn("_names", names.scalar()).select(*keys, let(F.col("_names"), lambda known: F.transform("_own", lambda no: F.get(known, no.cast("int") - first))).alias("shas"))
+
+
+def _runs(lines: DataFrame, commit: str) -> DataFrame:
+    """path, commit, _first, _last of each run of lines of one commit; lines are dealt out once."""
+    step = Window.partitionBy("path", commit).orderBy("line")
+    runs = lines.repartition("path", commit).distinct().withColumn("run", F.col("line") - F.row_number().over(step))
+    return runs.groupBy("path", commit, "run").agg(F.min("line").alias("_first"), F.max("line").alias("_last")).drop("run")
 
 
 # The lines of a diff that name its files and open its parts.

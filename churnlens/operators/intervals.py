@@ -38,6 +38,32 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], left_range: tuple[str
     return met.drop("_level", "_bin", *(f"{c}_{n}" for c in ("_lo", "_hi", "_own") for n in "ab"))
 
 
+#: Bins of lists have one of few sizes, powers of 2^COARSE, so that short ranges are listed for few sizes of longer ones.
+COARSE = 4
+
+
+def gathered(left: DataFrame, right: DataFrame, on: list[str], keep: list[str], value: str, left_range: tuple[str, str] = ("lo", "hi"), right_range: tuple[str, str] = ("lo", "hi")) -> DataFrame:
+    """keep and met of rows of left: the values of the right rows, equal in `on`, whose closed ranges meet theirs; a row that lies in several bins comes with a part for each.
+
+    Like meet, but the right rows of a bin are one list, and a left row takes from it what it meets, so no pair is a row. A bin has a list of all right ranges that are no longer
+    than it and one of those of its own size: a left row reads the first at its own size, and of larger bins only the second, which is short where ranges do not overlap.
+    """
+    sides = []
+    for df, (lo, hi) in ((left, left_range), (right, right_range)):
+        sound = df.where(F.col(lo) <= F.col(hi)).withColumns({"_lo": F.col(lo).cast("long"), "_hi": F.col(hi).cast("long")})
+        sides.append((sound, F.ceil((_level(F.col("_lo"), F.col("_hi")) + 1) / COARSE).cast("int") * COARSE))
+    (a, own_a), (b, own_b) = sides
+    asks, has = ([r[0] for r in df.select(own).distinct().collect()] for df, own in sides)  # 17 at most
+    # a list is known by one number: its bin, its size and whether it is of all
+    at = F.expr("shiftleft(_bin, 8) + 2 * _level + int(_all)")
+    a = _dealt(a, own_a, has).withColumn("_all", F.col("_own") == F.col("_level")).select(*keep, *on, at.alias("_at"), "_lo", "_hi")
+    sorts = F.when(F.col("_own") == F.col("_level"), F.array_compact(F.array(F.lit(True), F.when(F.col("_level") > min(asks, default=0), False)))).otherwise(F.array(F.lit(True)))
+    b = _dealt(b, own_b, asks).withColumn("_all", F.explode(sorts)).select(*on, at.alias("_at"), "_lo", "_hi", value)
+    lists = b.repartition(*on, "_at").groupBy(*on, "_at").agg(F.collect_list(F.struct("_lo", "_hi", value)).alias("_list"))
+    met = F.transform(F.filter("_list", lambda x: (x["_lo"] <= F.col("_hi")) & (x["_hi"] >= F.col("_lo"))), lambda x: x[value])
+    return a.join(lists, [*on, "_at"]).select(*keep, met.alias("met")).where("size(met) > 0")
+
+
 def _met(ranges: DataFrame, keys: list[str], name: str) -> DataFrame:
     """ranges with the number of ranges, equal in keys, that meet each: those that begin no later than it ends less those that ended before it began.
 
