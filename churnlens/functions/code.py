@@ -136,12 +136,16 @@ def visible(text: Column) -> Column:
 
 def code_span(value: Column, cell: bool = False) -> Column:
     """A Markdown code span that shows value as it is, on one line; null and blank values as a dash (operator 128)."""
-    text = visible(F.regexp_replace(F.regexp_replace(value, r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])\z", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " "))
-    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), lambda r: F.length(r))), F.lit(0))
-    fence = F.repeat(F.lit("`"), longest + 1)
-    pad = F.when(text.rlike("^[` ]|[` ]\\z"), " ").otherwise("")
-    shown = F.replace(text, F.lit("|"), F.lit("\\|")) if cell else text
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "—").otherwise(F.concat(fence, pad, shown, pad, fence))
+    flat = F.regexp_replace(F.regexp_replace(value, r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])\z", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " ")
+
+    def span(text: Column) -> Column:
+        longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), lambda r: F.length(r))), F.lit(0))
+        fence = F.when(text.contains("`"), F.repeat(F.lit("`"), longest + 1)).otherwise("`")
+        pad = F.when(text.rlike("^[` ]|[` ]\\z"), " ").otherwise("")
+        shown = F.replace(text, F.lit("|"), F.lit("\\|")) if cell else text
+        return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "—").otherwise(let(fence, lambda f: F.concat(f, pad, shown, pad, f)))
+
+    return let(let(flat, visible), span)
 
 
 def package_name(name: Column) -> Column:

@@ -51,11 +51,17 @@ def _word(token: Column, cell: bool, heading: bool) -> Column:
 def prose(value: Column, cell: bool = False, heading: bool = False) -> Column:
     """Text on one line that shows as it is, safe also at a line's start (operator 128); null and blank values as a dash."""
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, f"(?:{LINE_ENDS})\\z", ""), LINE_ENDS, " "), "[ \\t]+", " ")
-    own = F.regexp_replace(F.regexp_replace(visible(flat), "[ \\t]+", " "), r"(?U)^\s+|\s+$", "")
-    pieces = F.regexp_extract_all(own, F.lit(r"(?U)\S+|\s+"), F.lit(0))
-    joined = F.array_join(F.transform(pieces, lambda t: F.when(t.rlike(r"(?U)^\s"), t).otherwise(_word(t, cell, heading))), "")
-    guarded = F.regexp_replace(F.regexp_replace(joined, r"^([#+=>-])", r"\\$1"), r"^([0-9]+)([.)])", r"$1\\$2")
-    return F.when(F.coalesce(own, F.lit("")) == "", "—").otherwise(guarded)
+    own = F.regexp_replace(F.regexp_replace(let(flat, visible), "[ \\t]+", " "), r"(?U)^\s+|\s+$", "")
+
+    def shown(own: Column) -> Column:
+        pieces = F.regexp_extract_all(own, F.lit(r"(?U)\S+|\s+"), F.lit(0))
+        words = F.array_join(F.transform(pieces, lambda t: F.when(t.rlike(r"(?U)^\s"), t).otherwise(_word(t, cell, heading))), "")
+        # no word could hold a link where the whole text could not
+        joined = F.when(own.rlike(LINKISH), words).otherwise(_escaped(own, heading))
+        guarded = F.regexp_replace(F.regexp_replace(joined, r"^([#+=>-])", r"\\$1"), r"^([0-9]+)([.)])", r"$1\\$2")
+        return F.when(F.coalesce(own, F.lit("")) == "", "—").otherwise(guarded)
+
+    return let(own, shown)
 
 
 def linked(value: Column, url: Column, cell: bool = False) -> Column:

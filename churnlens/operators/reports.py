@@ -44,7 +44,7 @@ def markdown(findings: DataFrame, by: str, title: str = "Findings") -> DataFrame
     proof = F.transform("evidence", lambda e: F.concat(F.lit("- "), linked(e["ref"], e["url"]), F.when(F.coalesce(e["note"], F.lit("")) != "", F.concat(F.lit(": "), prose(e["note"]))).otherwise("")))
     gate = F.when(F.col("gate") == "none", F.array()).otherwise(F.array(F.concat(F.lit("Gate: "), code_span(F.col("gate"))), F.lit(""))).cast("array<string>")
     part = F.concat(F.array(F.lit(""), F.concat(F.lit("## "), fid, F.lit(" "), code_span(place)), F.lit(""), prose(F.col("claim")), F.lit("")), gate, F.coalesce(proof, F.array().cast("array<string>")))
-    sections = [counts.select(by, F.lit(0).alias("section"), F.lit(0).alias("no"), F.posexplode(head).alias("i", "line")), own.select(by, F.lit(1), "no", F.lit(0), row), own.select(by, F.lit(2), "no", F.posexplode(part))]
+    sections = [counts.select(by, F.lit(0).alias("section"), F.lit(0).alias("no"), F.posexplode(head).alias("i", "line")), own.select(by, F.lit(1), "no", F.lit(0), row), own.select(by, F.lit(2), "no", F.posexplode_outer(part))]  # outer, as no part is empty and a plain explode has it made again for a filter
     all_ = sections[0]
     for more in sections[1:]:
         all_ = all_.union(more)

@@ -32,3 +32,12 @@ def test_report_and_sweep(spark, tmp_path):
     hits = spark.createDataFrame([("b", "y.py", 10, "x\ty"), ("a", "y.py", 2, None), ("b", "y.py", 9, "z")], "rule string, path string, line_no int, snippet string")
     reports.write_lines(reports.sweep(hits), str(tmp_path / "tsv"), ["rule", "path", "line_no"])
     assert "".join(f.read_text() for f in sorted((tmp_path / "tsv").glob("part-*"))) == "a\ty.py:2\t\nb\ty.py:9\tz\nb\ty.py:10\tx y\n"
+
+
+def test_lines_are_made_once(spark):
+    """A plain explode has its list made again to filter out empty ones, and an expression that is used again is read again."""
+    findings = spark.createDataFrame([("r", "k", "p", 1, None, "none", "high", 1.0, "Claim", [])], "repo string, key string, path string, line int, url string, gate string, confidence string, score double, claim string, evidence array<struct<ref:string,url:string,note:string>>")
+    plan = reports.markdown(findings, "repo")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "Claim" not in x and "size(" in x]
+    span = spark.range(1).select(markdown.code_span(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert span.count("regexp_replace(regexp_replace(cast(id") == 1
