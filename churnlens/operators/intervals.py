@@ -64,24 +64,21 @@ def gathered(left: DataFrame, right: DataFrame, on: list[str], keep: list[str],
     return a.join(lists, [*on, "_at"]).select(*keep, met.alias("met")).where("size(met) > 0")
 
 
-def _met(ranges: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """ranges with the number of ranges, equal in keys, that meet each: those that begin no later than it ends less those that ended before it began.
-
-    What is sorted is one row for each place of a key at which ranges begin or end, never a row for each range.
-    """
-    places = ranges.select(*keys, F.col("lo").alias("at"), F.lit(1).alias("begin"), F.lit(0).alias("end")).unionByName(ranges.select(*keys, F.col("hi").alias("at"), F.lit(0).alias("begin"), F.lit(1).alias("end")))
-    sums = places.groupBy(*keys, "at").agg(F.sum("begin").alias("begin"), F.sum("end").alias("end"))
-    upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    known = sums.select(*keys, "at", F.sum("begin").over(upto).alias("_begun"), (F.sum("end").over(upto) - F.col("end")).alias("_ended"))
-    begun, ended = known.select(*keys, F.col("at").alias("hi"), "_begun"), known.select(*keys, F.col("at").alias("lo"), "_ended")
-    return ranges.join(begun, [*keys, "hi"]).join(ended, [*keys, "lo"]).withColumn(name, F.col("_begun") - F.col("_ended")).drop("_begun", "_ended")
-
-
 def meetings(ranges: DataFrame, owner: str, path: str, lo: str, hi: str) -> DataFrame:
     """path, owner, lo, hi, others of each distinct range: how many ranges of other owners meet it. No pairs are made.
 
-    Rows with a null or with hi before lo are left out.
+    Those that meet a range are those that begin no later than it ends less those that ended before it began, over all owners less the same over its own. A range is dealt
+    out once, by its path; there its two ends are counted in order, a place's beginnings before its ends, and summed. Rows with a null or with hi before lo are left out.
     """
-    own = ranges.select(F.col(path).alias("path"), F.col(owner).alias("owner"), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi")).dropna().where("lo <= hi").distinct()
-    both = _met(_met(own, ["path"], "all"), ["path", "owner"], "mine")
-    return both.select("path", "owner", "lo", "hi", (F.col("all") - F.col("mine")).alias("others"))
+    named = ranges.select(F.col(path).alias("path"), F.col(owner).alias("owner"), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi")).dropna().where("lo <= hi")
+    own = named.repartition("path").distinct()
+    ends = own.select("path", "owner", "lo", "hi", F.explode(F.array(F.lit(0), F.lit(1))).alias("end")).withColumn("at", F.when(F.col("end") == 1, F.col("hi")).otherwise(F.col("lo")))
+
+    def seen(*keys: str) -> Column:
+        """What began up to an end, or less what ended up to a beginning."""
+        upto = Window.partitionBy(*keys).orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0)
+        ended = F.sum("end").over(upto)
+        return F.when(F.col("end") == 1, F.count("*").over(upto) - ended).otherwise(-ended)
+
+    counted = ends.withColumn("n", seen("path")).withColumn("mine", seen("path", "owner"))
+    return counted.groupBy("path", "owner", "lo", "hi").agg(F.sum(F.col("n") - F.col("mine")).alias("others"))

@@ -2,7 +2,7 @@
 
 import random
 
-from churnlens.operators import evidence, intervals
+from churnlens.operators import evidence, findings, intervals
 
 
 def test_ranges_gather_lists_without_pairs(spark):
@@ -29,3 +29,27 @@ def test_blame_is_the_same_by_numbers_and_by_names(spark, monkeypatch):
     assert numbers[0] == [f"{n:040x}" for n in range(1, 40)] and "f" * 40 in numbers[7] and 8 in numbers
     monkeypatch.setattr(evidence, "BROADCAST_ROWS", 1)
     assert told() == numbers
+
+
+def test_meetings_are_counted_in_one_deal(spark):
+    ranges = [(o % 7, o % 3, o % 11, o % 11 + o % 5 - 1) for o in range(200)] + [(None, 1, 1, 2), (1, None, 1, 2), (1, 1, None, 2)]
+    told = intervals.meetings(spark.createDataFrame(ranges, "o long, p long, lo long, hi long"), "o", "p", "lo", "hi")
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    own = {r for r in ranges if None not in r and r[2] <= r[3]}
+    assert {(r["owner"], r["path"], r["lo"], r["hi"]): r["others"] for r in told.collect()} == {(o, p, a, b): sum(q == p and w != o and a <= d and c <= b for w, q, c, d in own) for o, p, a, b in own}
+
+
+def test_pairs_of_single_ranges_are_not_dealt_out_again(spark):
+    ranges = [(o % 60, o % 4, o % 37, o % 37 + o % 9 - 1) for o in range(300)] + [(100 + o, 9, o, o + 3) for o in range(50)]
+    told = findings.overlaps(spark.createDataFrame(ranges, "o long, p long, lo long, hi long"), "o", "p", "lo", "hi")
+    own = sorted({r for r in ranges if r[2] <= r[3]})
+    want = {}
+    for i, (o, p, a, b) in enumerate(own):
+        for w, q, c, d in own[i + 1 :]:
+            if q == p and w != o and a <= d and c <= b:
+                key = (p, min(o, w), max(o, w))
+                want[key] = want.get(key, 0) + 1
+    got = told.collect()
+    assert {(r["path"], r["owner_a"], r["owner_b"]): r["meetings"] for r in got} == want and len(got) == len(want)
+    alone = findings.overlaps(spark.createDataFrame([(o, 1, o, o + 3) for o in range(50)], "o long, p long, lo long, hi long"), "o", "p", "lo", "hi")
+    assert alone.where("meetings = 1").count() == 49 + 48 + 47
