@@ -9,17 +9,25 @@ from pyspark.sql.window import Window
 from churnlens.functions.exprs import DOUBTFUL
 from churnlens.operators.components import components
 from churnlens.operators.intervals import meet
-from churnlens.sources.staging import staged
+from churnlens.sources.staging import sized, staged
+
 
 def overlaps(ranges: DataFrame, owner: str, path: str, lo: str, hi: str) -> DataFrame:
     """Pairs of different owners whose closed ranges on one path meet (operator 64), each once, with the number of meetings.
 
-    The result has a row for each pair that meets; intervals.meetings counts them for each range without making pairs.
+    The result has a row for each pair that meets; intervals.meetings counts them for each range without making pairs. Owners with one range on a path
+    meet once, where they are joined; only pairs with an owner of several ranges there are dealt out again and counted.
     """
-    own = ranges.select(F.col(path).alias("path"), F.col(owner).alias("o"), F.col(lo).alias("lo"), F.col(hi).alias("hi")).distinct()
-    a, b = (own.withColumnsRenamed({c: f"{c}_{s}" for c in ("o", "lo", "hi")}) for s in ("a", "b"))
-    met = meet(a, b, ["path"], ("lo_a", "hi_a"), ("lo_b", "hi_b")).where("o_a < o_b")
-    return met.groupBy("path", F.col("o_a").alias("owner_a"), F.col("o_b").alias("owner_b")).agg(F.count("*").alias("meetings"))
+    named = ranges.select(F.col(path).alias("path"), F.col(owner).alias("o"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    several = F.count("*").over(Window.partitionBy("path", "o")) > 1
+    own = staged(named.repartition("path", "o").distinct().withColumn("several", several))
+    side = lambda df, s: df.drop("several").withColumnsRenamed({c: f"{c}_{s}" for c in ("o", "lo", "hi")})
+    join = lambda a, b: meet(side(a, "a"), side(b, "b"), ["path"], ("lo_a", "hi_a"), ("lo_b", "hi_b"))
+    single, many = own.where("NOT several"), sized(own.where("several"))
+    once = join(single, single).where("o_a < o_b").select("path", F.col("o_a").alias("owner_a"), F.col("o_b").alias("owner_b"), F.lit(1).cast("long").alias("meetings"))
+    again = join(many, single).union(join(many, own.where("several")).where("o_a < o_b"))
+    pairs = again.select("path", F.least("o_a", "o_b").alias("owner_a"), F.greatest("o_a", "o_b").alias("owner_b"))
+    return once.union(pairs.groupBy("path", "owner_a", "owner_b").agg(F.count("*").alias("meetings")))
 
 
 def covered(need: DataFrame, have: DataFrame, key: str) -> DataFrame:
