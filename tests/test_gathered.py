@@ -53,3 +53,14 @@ def test_pairs_of_single_ranges_are_not_dealt_out_again(spark):
     assert {(r["path"], r["owner_a"], r["owner_b"]): r["meetings"] for r in got} == want and len(got) == len(want)
     alone = findings.overlaps(spark.createDataFrame([(o, 1, o, o + 3) for o in range(50)], "o long, p long, lo long, hi long"), "o", "p", "lo", "hi")
     assert alone.where("meetings = 1").count() == 49 + 48 + 47
+
+
+def test_evidence_is_read_once(spark):
+    """References are taken apart once and staged, not again for each question that is asked of them."""
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sha = "a" * 40
+    cited = table([(1, 1, "code", "p:2-3", None), (1, 2, "commit", sha[:12], "introduced"), (2, 1, "commit", sha[:12], "changed"), (2, 2, None, "x", None)], "finding long, i int, type string, ref string, role string")
+    refs, none = table([("A1@p:2",)], "ref string"), table([], "finding long, path string")
+    told = evidence.resolved(cited, none, table([("p", 9)], "path string, n_lines long"), refs, refs, table([(sha,)], "sha string"), table([(sha, "p")], "sha string, path string"), table([("p", 3, sha)], "path string, line long, sha string"))
+    assert "([0-9]+)(?:-" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["finding"], r["i"]): r["problem"] for r in told.collect()} == {(1, 1): None, (1, 2): None, (2, 1): None, (2, 2): "type is unknown"}
